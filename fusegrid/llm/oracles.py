@@ -88,7 +88,66 @@ select w.doc_id, len(words)::bigint as n_words, coalesce(n_base, 0)::bigint as n
   coalesce(score, 0.0)::double as score from w left join p on w.doc_id = p.doc_id"""
 
 
+def _join() -> str:
+    return rf"""
+with recursive w as (select doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, {SPACED}) as words from documents),
+s as (select distinct doc_id, g from (select doc_id, unnest(case when len(words) < 5 then [array_to_string(words, ' ')]
+      else list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) end) as g from w where len(words) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select g from s group by g having count(*) > 1),
+k as (select doc_id, g from s semi join c using (g)),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from k a join k b using (g) where a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * common >= 80 * (x.n + y.n - common)),
+e as materialized (select a, b from l union all select b, a from l),
+r(v, c) as (select doc_id, doc_id from documents union select e.b, r.c from r join e on r.v = e.a where r.c < e.b)
+select w.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id::bigint as component_id from w left join n on w.doc_id = n.doc_id
+join (select v, min(c) as component_id from r group by v) m on w.doc_id = m.v"""
+
+
+def _decontamination() -> str:
+    return rf"""
+with d as (select doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, {ALNUM}) as words from documents),
+b as (select item_id, regexp_extract_all({_lower("coalesce(text, '')")}, {ALNUM}) as words from benchmark),
+bw as (select distinct item_id, len(gram) as size, gram from (select item_id, unnest(case when len(words) < 10 then [words]
+      else list_transform(range(1, len(words) - 8), lambda i: words[i:i + 9]) end) as gram from b where len(words) > 0)),
+z as (select distinct size from bw),
+dw as (select doc_id, size, i, words[i:i + size - 1] as gram from
+      (select doc_id, size, words, unnest(range(1, len(words) - size + 2)) as i from d, z)),
+h as (select doc_id, i, dw.size, item_id from dw join bw on dw.size = bw.size and dw.gram = bw.gram),
+c as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(i, i + size)) as x from h) group by doc_id),
+t as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from h group by doc_id)
+select d.doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c on d.doc_id = c.doc_id left join t on d.doc_id = t.doc_id"""
+
+
+def _substrings() -> str:
+    """A window's key is the hash of its words, then of its two halves' keys, level by level."""
+    levels = ["g0 as materialized (select doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) as h from (select doc_id, words, unnest(range(1, len(words) - 11)) as i from w where len(words) > 12))"]
+    levels += [
+        f"g{k} as materialized (select doc_id, i, md5(h || half) as h from (select doc_id, i, h, lead(h, {13 << (k - 1)}) over (partition by doc_id order by i) as half from g{k - 1}) where half is not null)" for k in range(1, 12)
+    ]
+    every = "\nunion all ".join(f"select {13 << k} as level, doc_id, i, h from g{k}" for k in range(12))
+    return rf"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), {SPACED}) as words from documents),
+{", ".join(levels)},
+g as ({every}),
+f as (select level, h, min(doc_id) as first from g group by level, h having count(distinct doc_id) > 1),
+r as (select doc_id, i, first, level from g join f using (level, h)),
+x as (select distinct doc_id, unnest(range(i, i + 13)) as place from r where level = 13 and doc_id > first),
+l as (select doc_id, max(level) as longest from r group by doc_id),
+t as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as place from w),
+k as (select doc_id, string_agg(word, ' ' order by place) as kept from t anti join x using (doc_id, place) group by doc_id),
+n as (select doc_id, count(*) as removed from x group by doc_id)
+select w.doc_id, len(words)::bigint as n_words, coalesce(removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256,
+  coalesce(longest, 0)::bigint as longest_repeat
+from w left join k on w.doc_id = k.doc_id left join n on w.doc_id = n.doc_id left join l on w.doc_id = l.doc_id"""
+
+
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": _join(),
+    "op2_decontamination": _decontamination(),
+    "op9_substring_dedup": _substrings(),
     "op3_quality_rules": _quality(),
     "op7_line_dedup": _line_dedup(),
     "op8_license_scan": _licenses(),

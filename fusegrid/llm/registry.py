@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .decontam import decontaminate
 from .licenses import scan_licenses
 from .linededup import dedup_lines
+from .lm import score_lm
+from .neardup import near_duplicates
 from .packing import pack
+from .pii import scan_pii
 from .quality import quality
+from .substrings import dedup_substrings
+from .toxicity import score_toxicity, train
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -24,6 +30,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(divisor: int) -> Column:
+    """crc32 of doc_id as text, modulo ``divisor``; a null doc_id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["last"] - x["first"] + 1)
+    return out.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents")).drop("clean_text", "kept_share")
 
@@ -32,6 +60,16 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_pii(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_lm(_table(spark, sf_dir, "documents"), remainder(10) != 0)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -41,10 +79,30 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"), where=remainder(3) != 1)
+    out = score_toxicity(docs, model)
+    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_quality_rules": op3_quality_rules,
-    "op4_packing": op4_packing,
-    "op7_line_dedup": op7_line_dedup,
-    "op8_license_scan": op8_license_scan,
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_decontamination,
+        op3_quality_rules,
+        op4_packing,
+        op5_pii,
+        op6_lm_scoring,
+        op7_line_dedup,
+        op8_license_scan,
+        op9_substring_dedup,
+        op10_toxicity,
+    )
 }
 ORACLE_SQL = oracles.ORACLE_SQL

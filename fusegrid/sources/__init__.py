@@ -1,0 +1 @@
+"""Readers: each gives a DataFrame of raw or canonical records."""

@@ -1,0 +1 @@
+"""Incremental ingestion, beyond what a batch run offers."""

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import Encoder
+from .pretokens import encoder
 from .words import slices, utf8
 
 SEQUENCE_SHIFT = 33  # as monotonically_increasing_id: the partition stands above this bit
@@ -100,8 +100,8 @@ def sentence_ends(vocabulary: dict[str, int]) -> np.ndarray:
 
 def _packer(path: str, size: int, section: int, sentence_cut: float, hard_cut: float, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        marks = sentence_ends(encoder.tokenizer.get_vocab())
+        bpe = encoder(path)
+        marks = sentence_ends(bpe.tokenizer.get_vocab())
         marks[0] = False
         sequence = TaskContext.get().partitionId() << SEQUENCE_SHIFT
 
@@ -134,8 +134,8 @@ def _packer(path: str, size: int, section: int, sentence_cut: float, hard_cut: f
         for batch in batches:
             column = batch.column(1)
             _, offsets = utf8(column)
-            for a, b in slices(offsets, 4 << 20):
-                ids, count = encoder.encode(column.slice(a, b - a))
+            for a, b in slices(offsets, 3 << 20):
+                ids, count = bpe.encode(column.slice(a, b - a))
                 ends = np.cumsum(count)
                 parts.append(np.insert(ids, ends, 0))
                 counts.append(count + 1)
@@ -150,7 +150,7 @@ def _packer(path: str, size: int, section: int, sentence_cut: float, hard_cut: f
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, section: int = 1_000_000, sentence_cut: float = 8, hard_cut: float = 64, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, section: int = 500_000, sentence_cut: float = 8, hard_cut: float = 64, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document in a sequence; ``with_ids`` adds the ids themselves.
 
     ``tokenizer`` is the path of a byte-level ``tokenizers`` file, readable on all

@@ -3,7 +3,8 @@
 The split follows the public byte-level pattern of such tokenizers: contractions,
 letter runs, digit runs and other runs, each with at most one space before it, and
 white space.  What the split finds is encoded by the ``tokenizers`` library itself;
-only repeated pieces are looked up instead, by their bytes.
+only repeated pieces are looked up instead, by a 64-bit hash of their bytes that is
+unique for pieces of one length up to eight bytes.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ def _class_table() -> np.ndarray:
 class Encoder:
     """``encode(column)`` gives the ids of all texts and how many each text has."""
 
-    #: Pieces remembered before the memory is emptied; bounds the worker's memory.
-    REMEMBERED = 1_000_000
+    #: Pieces remembered before the memory is emptied; bounds the worker's memory
+    #: to about 30 bytes for each.
+    REMEMBERED = 3_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -45,22 +47,25 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.bounds = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.bounds, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
 
-    def learn(self, new: list[bytes]) -> None:
-        """Encodes pieces and puts their ids behind those already held."""
-        found = [x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)]
+    def learn(self, keys: np.ndarray, names: list[str]) -> None:
+        """Encodes pieces and puts their ids behind those already held; keys are in order."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        count, held = len(self.known), int(self.bounds[len(self.known)])
-        need = held + int(sizes.sum())
+        held = int(self.bounds[self.count])
+        need, rows = held + int(sizes.sum()), self.count + len(found)
         if need > len(self.ids):
             self.ids = np.resize(self.ids, 2 * need)
-        if count + len(new) >= len(self.bounds):
-            self.bounds = np.resize(self.bounds, 2 * (count + len(new)))
+        if rows >= len(self.bounds):
+            self.bounds = np.resize(self.bounds, 2 * rows)
         self.ids[held:need] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, need - held)
-        self.bounds[count + 1 : count + 1 + len(new)] = held + np.cumsum(sizes)
-        self.known.update(zip(new, range(count, count + len(new)), strict=True))
+        self.bounds[self.count + 1 : rows + 1] = held + np.cumsum(sizes)
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.rows = np.insert(self.rows, at, np.arange(self.count, rows))
+        self.count = rows
 
     def piece_starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Byte positions at which a piece of the pattern begins."""
@@ -93,18 +98,29 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         starts = self.piece_starts(data, offsets)
         sizes = np.diff(np.append(starts, len(data)))
-        _, sample, which = np.unique(hash_runs(data, starts, sizes), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        names = [raw[a:b] for a, b in zip(starts[sample].tolist(), (starts + sizes)[sample].tolist(), strict=True)]
-        if len(self.known) > self.REMEMBERED:
+        keys, sample, which = np.unique(hash_runs(data, starts, sizes), return_index=True, return_inverse=True)
+        if self.count > self.REMEMBERED:
             self.forget()
-        new = [x for x in names if x not in self.known]
-        if new:
-            self.learn(new)
-        row = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[which]
+        at = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if self.count else np.arange(len(keys))
+        if len(new):
+            raw, picked = data.tobytes(), sample[new]
+            self.learn(keys[new], [raw[a:b].decode() for a, b in zip(starts[picked].tolist(), (starts + sizes)[picked].tolist(), strict=True)])
+            at = np.searchsorted(self.keys, keys)
+        row = self.rows[at][which]
         base = self.bounds[row]
         each = self.bounds[row + 1] - base
         before = np.cumsum(each) - each
         ids = self.ids[np.repeat(base - before, each) + np.arange(int(each.sum()))]
         ends = np.append(before, len(ids))
         return ids, np.diff(ends[np.searchsorted(starts, offsets)])
+
+
+_SHARED: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder, kept from task to task."""
+    if path not in _SHARED:
+        _SHARED[path] = Encoder(path)
+    return _SHARED[path]

@@ -14,8 +14,11 @@ URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
 def lookup(table: dict, key: Column, default) -> Column:
-    """A small fixed table as a map literal."""
-    made = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items()))
+    """A small fixed table; names come from one folded literal, which keeps plans small."""
+    if all(isinstance(v, str) for v in table.values()):
+        made = F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in table.items())), F.lit("\x1e"), F.lit("\x1f"))
+    else:
+        made = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items()))
     return F.coalesce(F.try_element_at(made, key), F.lit(default))
 
 

@@ -206,7 +206,7 @@ def match_email(spark, sf_dir):
 
 
 def match_phone(spark, sf_dir):
-    r = records(spark, sf_dir).withColumn("record_id", F.col("entity_key") * 3 + F.col("pos")).withColumn("phones", F.array(F.concat(F.lit("+91"), F.lpad((F.col("entity_key") % 700).cast("string"), 10, "9"))))
+    r = records(spark, sf_dir).withColumn("record_id", F.col("entity_key") * 3 + F.col("pos")).withColumn("phones", F.array(F.concat(F.lit("+91"), F.lpad((F.col("entity_key") % 700).cast("string"), 10, "0"))))
     return match.match_phones(r).select("a", "b")
 
 

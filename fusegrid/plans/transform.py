@@ -1,4 +1,8 @@
-"""Sources to merged, scored, validated and projected profiles, as one lazy plan."""
+"""Sources to merged, scored, validated and projected profiles.
+
+The canonical records are written once, as every rule of the merge reads them; all
+that follows is lazy.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +21,7 @@ from ..operators.project import DEFAULT_PROJECTION, project
 from ..operators.resume import parse_resumes
 from ..operators.score import quality_report, schema_errors, score, soft_validate
 from ..schema import CANONICAL
+from .materialize import materialize
 
 log = logging.getLogger(__name__)
 SOURCE_ORDER = ["csv", "resume", "linkedin"]
@@ -24,7 +29,7 @@ SOURCE_ORDER = ["csv", "resume", "linkedin"]
 
 @dataclass
 class Result:
-    """The three outputs of a run, all lazy."""
+    """The three outputs of a run."""
 
     profiles: DataFrame
     projected: DataFrame
@@ -85,9 +90,9 @@ def transform(records: DataFrame, *, merge_config: dict | None = None, projectio
     """
     merge_config = merge_config or DEFAULT_CONFIG
     if entity is not None:
-        records = records.withColumn("entity_key", entity)
+        records = materialize(records.withColumn("entity_key", entity))
     else:
-        records = cluster(records, threshold=threshold or merge_config.get("dedup_threshold", 85))
+        records = materialize(cluster(materialize(records), threshold=threshold or merge_config.get("dedup_threshold", 85)))
     merged = soft_validate(score(merge(records, merge_config)))
     projected = project(merged, projection, ["entity_key"])
     projected = projected.withColumn("schema_errors", schema_errors(projected, schema))

@@ -18,6 +18,7 @@ from .operators import match, merge, resume
 from .operators.build import from_csv, from_profile, from_resume
 from .operators.project import confidence_band, flat_export, project
 from .operators.score import gold_diff, overall_confidence, quality_report, schema_errors, score, soft_validate
+from .plans.materialize import materialize
 from .plans.transform import transform, union_sources
 from .schema import FIELD_IMPORTANCE, METHOD_RELIABILITY, SKILL_ALIASES, SOURCE_TRUST
 from .sources import readers
@@ -261,7 +262,7 @@ def confidence(spark, sf_dir):
 
 
 def _merged(spark, sf_dir):
-    return score(merge.merge(records(spark, sf_dir)))
+    return score(merge.merge(materialize(records(spark, sf_dir))))
 
 
 def soft_validation(spark, sf_dir):

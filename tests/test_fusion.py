@@ -8,6 +8,7 @@ from fusegrid.operators.build import from_csv, from_profile
 from fusegrid.operators.project import compile_path, flat_export, project
 from fusegrid.operators.resume import parse_resumes
 from fusegrid.operators.score import overall_confidence, schema_errors, score, soft_validate
+from fusegrid.plans.materialize import materialize
 from fusegrid.plans.transform import transform, union_sources
 from fusegrid.queries import RESUME_TEXT
 from fusegrid.schema import PROFILE
@@ -123,7 +124,7 @@ def test_html():
 def test_matching_and_whole_plan(spark, csv, profile):
     more = spark.createDataFrame([("b", 5, "Bob Stone", "bob@example.com", None, "Other", "Cook", None)], CSV)
     text = spark.createDataFrame([("r", 7, RESUME_TEXT)], "entity_key string, pos int, text string")
-    records = union_sources(csv.unionByName(more), text, profile).drop("entity_key").withColumn("record_id", F.col("pos"))
+    records = materialize(union_sources(csv.unionByName(more), text, profile).drop("entity_key").withColumn("record_id", F.col("pos")))
     pairs = {(r["a"], r["b"]) for r in match.match_records(records).select("a", "b").collect()}
     assert {(0, 1), (0, 7)} <= pairs and not any(5 in p for p in pairs)
     result = transform(records)

@@ -21,10 +21,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Text of a block, about; a block's arrays take some twenty times this at most.
 BLOCK_BYTES = 8 << 20
@@ -93,6 +95,20 @@ def deal(docs: DataFrame, count: int) -> DataFrame:
     return docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int"))
 
 
+def deal_ranges(docs: DataFrame, count: int) -> DataFrame:
+    """Adds the column ``block``, which rises with doc_id; null ids are in the first block."""
+    share = [k / count for k in range(1, count)]
+    found = docs.agg(F.percentile_approx("doc_id", share, 10 * count + 1000)).first()[0] if share else []
+    bounds = np.unique(np.array(found or [], np.int64))
+
+    @F.pandas_udf(IntegerType())
+    def block(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), side="right").astype(np.int32))
+
+    lowest = F.lit(int(np.iinfo(np.int64).min)).cast("bigint")
+    return docs.withColumn("block", block(F.coalesce("doc_id", lowest)))
+
+
 def _packed(block: int, asked: Asked, buckets: int) -> pa.Table:
     bounds = np.append(np.searchsorted(asked.keys, edges(buckets)), len(asked.keys))
     rows = {"block": [], "bucket": [], "n": [], "keys": [], "vals": []}

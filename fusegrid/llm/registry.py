@@ -80,7 +80,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept_text")
+    return dedup_substrings(_table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,3 +34,9 @@ def drop_parquet(df: DataFrame) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
         if path.getName().startswith("table-"):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(df: DataFrame) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished jobs, which it does after a collection."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()

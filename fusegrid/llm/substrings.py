@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import Asked, ask, block_count, deal, runs
-from .store import drop_parquet, shared_parquet
+from .exchange import Asked, ask, block_count, deal, deal_ranges, runs
+from .store import drop_parquet, release, shared_parquet
 from .words import SPACED, mix, pieces, shingle, window_starts
 
 LOWEST = np.iinfo(np.int64).min
-RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string, repeats array<struct<key: bigint, hashes: binary>>"
+RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, kept_sha256 string, level bigint, repeats array<struct<key: bigint, hashes: binary>>"
 
 
 def _ids(table: pa.Table) -> np.ndarray:
@@ -66,32 +66,33 @@ def _windows(size: int):
         key, row = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, rows))
         row = row.astype(np.int64)
         known, first = first_holder(key, ids[row])
-        return Asked(known, first, {"key": key, "row": row, "places": places, "words": words, "ids": ids})
+        # blocks are ranges of doc_id: who comes first needs no more than the block's number
+        return Asked(known, np.zeros(len(known), np.uint64), {"first": first, "key": key, "row": row, "places": places, "words": words, "ids": ids})
 
     return emit
 
 
-def _smallest(keys: np.ndarray, block: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Answers where blocks share a key: the smallest document."""
+def _earlier(keys: np.ndarray, block: np.ndarray, unused: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Answers where blocks share a key: 1 if an earlier block holds it, else 0."""
     first, run = runs(keys)
     several = np.diff(np.append(first, len(keys))) > 1
-    return several[run], np.minimum.reduceat(docs, first)[run] if len(keys) else docs
+    return several[run], (np.arange(len(keys)) > first[run]).astype(np.uint64)
 
 
-def _rewrite(size: int):
+def _rewrite(size: int, with_text: bool):
     def finish(table: pa.Table, asked: Asked, places: np.ndarray, found: np.ndarray) -> pa.Table:
         s = asked.state
-        least = asked.values.copy()
-        least[places] = found
+        before = np.zeros(len(asked.keys), bool)
+        before[places] = found > 0
         at = np.searchsorted(asked.keys, s["key"])
-        mine = s["ids"][s["row"]]
-        later = least[at] < mine
+        second = s["ids"][s["row"]] != s["first"][at]
+        later = before[at] | second
         # a window repeats if another block shares it or two documents of this one hold it
         shared = np.zeros(len(asked.keys), bool)
         shared[places] = True
-        shared[at[mine != asked.values[at]]] = True
+        shared[at[second]] = True
         repeat = shared[at]
-        out = {"n_words": [], "n_removed": [], "kept_text": [], "kept_sha256": [], "repeats": []}
+        out = {"n_words": [], "n_removed": [], "kept_text": [], "kept_sha256": [], "level": [], "repeats": []}
         base = 0
         for (begin, end, w), where in zip(s["words"], s["places"], strict=True):
             part = slice(base, base + len(where))
@@ -104,8 +105,9 @@ def _rewrite(size: int):
                 kept = b" ".join([w.data[x:y].tobytes() for x, y in zip(w.starts[stay].tolist(), w.ends[stay].tolist(), strict=True)])
                 out["n_words"].append(b - a)
                 out["n_removed"].append(b - a - len(stay))
-                out["kept_text"].append(kept.decode())
+                out["kept_text"].append(kept.decode() if with_text else None)
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                out["level"].append(size if twice[a:b].any() else 0)
                 out["repeats"].append(_regions(w.hashes[a:b], twice[a:b], 2 * size))
         kinds = {"kept_text": pa.string(), "kept_sha256": pa.string(), "repeats": pa.list_(pa.struct({"key": pa.int64(), "hashes": pa.binary()}))}
         return pa.table({"doc_id": table["doc_id"]} | {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
@@ -189,13 +191,17 @@ def _split(regions: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     return done, still.select("doc_id", whole.alias("several"), "hashes", "key", "words").dropDuplicates(["doc_id", "key", "words"]).drop("key", "words")
 
 
-def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13) -> DataFrame:
-    """One row per input row: n_words, n_removed, kept_text, kept_sha256, longest_repeat."""
+def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 13, with_text: bool = True) -> DataFrame:
+    """One row per input row: n_words, n_removed, kept_text, kept_sha256, longest_repeat.
+
+    Without ``with_text`` kept_text is null, for callers that need the digest alone.
+    """
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     count = block_count(slim, "text")
-    level0 = shared_parquet(ask(deal(slim, count), _windows(min_words), _smallest, _rewrite(min_words), RESULT, count))
+    level0 = shared_parquet(ask(deal_ranges(slim, count), _windows(min_words), _earlier, _rewrite(min_words, with_text), RESULT, count))
+    release(slim)
     regions = level0.where("doc_id is not null").select("doc_id", F.lit(False).alias("several"), F.explode("repeats").alias("r")).select("doc_id", "several", "r.key", "r.hashes")
-    known = level0.where(F.size("repeats") > 0).select("doc_id", F.lit(min_words).cast("bigint").alias("level"))
+    known = level0.where("level > 0").select("doc_id", "level")
     size = 2 * min_words
     while True:
         done, still = _split(regions, size)
@@ -210,4 +216,4 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         drop_parquet(still)
         size *= 2
     longest = known.groupBy("doc_id").agg(F.max("level").alias("longest_repeat"))
-    return level0.drop("repeats").join(longest, "doc_id", "left").withColumn("longest_repeat", F.coalesce("longest_repeat", F.lit(0).cast("bigint")))
+    return level0.drop("repeats", "level").join(longest, "doc_id", "left").withColumn("longest_repeat", F.coalesce("longest_repeat", F.lit(0).cast("bigint")))

@@ -105,14 +105,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows: list[list[int]], labels: np.ndarray, swaps: list[tuple[list[int], list[int]]], *, l2: float = 2.0, fairness: float = 5.0, steps: int = 150, min_rows: int = 3) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[list[int], list[int]]], *, l2: float = 2.0, fairness: float = 5.0, steps: int = 150, min_rows: int = 3) -> Model:
     """Minimises log loss + l2 + fairness * (score change by swaps)**2, by Adam on all rows."""
     weights = np.zeros((1 << BITS) + 1)
     share = float(labels.mean()) if len(labels) else 0.5
     if not len(labels) or share in (0.0, 1.0):
         weights[-1] = 0.0 if not len(labels) else np.log((share + 1e-6) / (1 - share + 1e-6))
         return Model(weights)
-    what = np.fromiter((f for r in rows for f in r), np.int64)
+    what = np.concatenate(rows).astype(np.int64)
     text = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     use, place = np.unique(what, return_inverse=True)
     often = np.bincount(place) >= min_rows
@@ -151,8 +151,12 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")  # max_rows small rows
     got = joined.mapInArrow(_extractor(max_features), "toxic int, x array<int>, added array<array<int>>, dropped array<array<int>>").toArrow()
-    order = np.lexsort((np.array([len(x) for x in got["x"].to_pylist()]), [hash(tuple(x[:8])) for x in got["x"].to_pylist()])) if got.num_rows else []
-    rows = [got["x"][int(i)].as_py() for i in order]
+    x = got["x"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    x = pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x
+    bounds, flat = np.asarray(x.offsets), np.asarray(x.values)
+    # in an order of their own, so that the fit does not depend on that of arrival
+    order = np.array(sorted(range(len(x)), key=lambda k: flat[bounds[k] : bounds[k + 1]].tobytes()), np.int64)
+    rows = [flat[bounds[k] : bounds[k + 1]] for k in order]
     target = np.array(got["toxic"].to_pylist(), float)[order] if got.num_rows else np.zeros(0)
     swaps = [s for a, d in zip(got["added"].to_pylist(), got["dropped"].to_pylist(), strict=True) for s in zip(a, d, strict=True)]
     return fit(rows, target, sorted(swaps))

@@ -105,8 +105,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[list[int], list[int]]], *, l2: float = 2.0, fairness: float = 5.0, steps: int = 150, min_rows: int = 3) -> Model:
-    """Minimises log loss + l2 + fairness * (score change by swaps)**2, by Adam on all rows."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[list[int], list[int]]], *, l2: float = 0.5, fairness: float = 5.0, steps: int = 200, min_rows: int = 3, min_z: float = 4.5) -> Model:
+    """Minimises log loss + l2 + fairness * (score change by swaps)**2, by Adam on all rows.
+
+    Only features of ``min_rows`` rows or more whose share of toxic rows differs from the
+    whole by ``min_z`` standard errors take part: in long texts the chance weights of
+    thousands of others would drown them.
+    """
     weights = np.zeros((1 << BITS) + 1)
     share = float(labels.mean()) if len(labels) else 0.5
     if not len(labels) or share in (0.0, 1.0):
@@ -115,7 +120,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[list[int],
     what = np.concatenate(rows).astype(np.int64)
     text = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     use, place = np.unique(what, return_inverse=True)
-    often = np.bincount(place) >= min_rows
+    held, bad = np.bincount(place), np.bincount(place, labels[text])
+    often = (held >= min_rows) & (np.abs(bad - held * share) >= min_z * np.sqrt(held * share * (1 - share)))
     swapped = [sorted({f for s in swaps for side in s for f in side})]
     use = np.union1d(use[often], np.array(swapped[0], np.int64))
     at = np.searchsorted(use, what)

@@ -13,8 +13,8 @@ their prefix and drop out at once; no cap is needed.
    size; members are paired with their group's head.  These pairs, a few for each
    class, are verified on their sets.
 3. Verified links make components.  Where a prefix shingle is held by several
-   components, their groups are paired across components only, filtered by size and by
-   the order of the prefix, expanded to members and verified.  So every link between
+   components, their groups are paired across components only, filtered by size, by
+   the order of the prefix and by parity sketches, expanded to members and verified.  So every link between
    different components is found, and none is lost, while a family of copies that the
    hubs have joined costs nothing more.
 
@@ -38,7 +38,9 @@ from .exchange import Asked, ask, block_count, deal, distinct, runs
 from .store import drop_parquet, shared_parquet
 from .words import SPACED, Words, mix, pieces, shingle, window_starts
 
-SETS = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, prefix array<bigint>, shingles array<bigint>"
+SETS = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, prefix array<bigint>, sketch array<bigint>, shingles array<bigint>"
+#: Words of 64 bits in a set's parity sketch.
+SKETCH = 16
 
 
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,9 +101,13 @@ def _finish(percent: int):
         count = np.bincount(text[use], minlength=table.num_rows)
         pre = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(chosen))
         full = np.repeat(count > 0, n)
+        bits = np.zeros((table.num_rows, 64 * SKETCH), np.uint8)
+        np.bitwise_xor.at(bits, (text[full], (key[full] >> np.uint64(40)).astype(np.int64) % (64 * SKETCH)), 1)
+        words = np.packbits(bits[count > 0], axis=1).view(np.int64).reshape(-1)
+        sketch = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(count > 0, SKETCH, 0))).astype(np.int32)), pa.array(words))
         kept = np.where(count > 0, n, 0)
         sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(kept)).astype(np.int32)), pa.array(key[full].view(np.int64)))
-        return pa.table({"doc_id": table["doc_id"], "n_shingles": pa.array(n, pa.int64()), "f1": f1.view(np.int64), "f2": f2.view(np.int64), "prefix": pre, "shingles": sets})
+        return pa.table({"doc_id": table["doc_id"], "n_shingles": pa.array(n, pa.int64()), "f1": f1.view(np.int64), "f2": f2.view(np.int64), "prefix": pre, "sketch": sketch, "shingles": sets})
 
     return finish
 
@@ -130,7 +136,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     live = every.where("doc_id is not null and size(prefix) > 0")
     classes = live.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("class_id"))
     heads = live.join(classes, ["n_shingles", "f1", "f2"]).where("doc_id = class_id").dropDuplicates(["doc_id", "f1", "f2"])
-    heads = shared_parquet(heads.select("doc_id", "n_shingles", "prefix", "shingles"))
+    heads = shared_parquet(heads.select("doc_id", "n_shingles", "prefix", "sketch", "shingles"))
     n = F.col("n_shingles")
     grouped = heads.groupBy("n_shingles", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")).agg(F.min("doc_id").alias("head"))
     member = heads.select("doc_id", "n_shingles", "prefix", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2")).join(grouped, ["n_shingles", "p1", "p2"])
@@ -141,24 +147,34 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     by = [F.struct("head", "n_shingles"), F.struct(F.xxhash64("head").alias("h"), "head", "n_shingles")]
     hubs = posts.groupBy("token", "band").agg(F.min(by[0]).alias("u"), F.min(by[1]).alias("v"), F.max(by[1]).alias("w"))
     near = posts.join(hubs.where("u.head <> w.head or u.head <> v.head"), ["token", "band"])
-    star = near.select("head", "n_shingles", F.explode(F.array(*[F.struct(F.col(f"{x}.head").alias("hub"), F.col(f"{x}.n_shingles").alias("m")) for x in "uvw"])).alias("x"))
-    star = star.where((F.col("head") != F.col("x.hub")) & _size_fits(n, F.col("x.m"), percent))
-    pairs = star.select(F.least("head", "x.hub").alias("a"), F.greatest("head", "x.hub").alias("b"))
+    fits = lambda x: F.when((F.col(f"{x}.head") != F.col("head")) & _size_fits(n, F.col(f"{x}.n_shingles"), percent), F.col(x))
+    # three hubs of each group; whatever they leave apart, step 3 compares
+    near = near.groupBy("head").agg(F.min(fits("u"))["head"].alias("u"), F.min(fits("v"))["head"].alias("v"), F.max(fits("w"))["head"].alias("w"))
+    star = near.select("head", F.explode(F.array("u", "v", "w")).alias("hub")).where("hub is not null")
+    pairs = star.select(F.least("head", "hub").alias("a"), F.greatest("head", "hub").alias("b"))
     pairs = pairs.unionByName(member.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b"))).distinct()
     links = shared_parquet(_verified(pairs, heads, percent))
     first = components(links)
     # all members with the component they are in so far; alone, a class is its own
     placed = member.join(first.withColumnRenamed("v", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     placed = shared_parquet(placed.select("doc_id", "head", "n_shingles", "label"))
-    lots = placed.groupBy("head", "label").agg(F.min("doc_id").alias("least"))
-    held = posts.join(lots, "head").select("token", "head", "label", "n_shingles", "pos")
+    lots = placed.groupBy("head", "label").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    lots = lots.withColumn("many", (F.col("least") != F.col("head")) | (F.col("most") != F.col("head"))).drop("least", "most")
+    # shingles that other documents hold, from this one on: those of one's own come first
+    rest = n - (n - F.ceil(n * percent / 100) + 1 - F.col("width")) - F.col("pos")
+    held = posts.join(lots, "head").select("token", "head", "label", "many", "n_shingles", "pos", rest.alias("rest"))
     open_tokens = held.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    held = shared_parquet(held.join(open_tokens, "token"))
+    bits = heads.select(F.col("doc_id").alias("head"), *[F.get("sketch", k).alias(f"s{k}") for k in range(SKETCH)]).dropDuplicates(["head"])
+    held = shared_parquet(held.join(open_tokens, "token").join(bits, "head"))
     x, y = held.alias("x"), held.alias("y")
-    need = F.ceil((F.col("x.n_shingles") + F.col("y.n_shingles")) * F.lit(percent) / F.lit(100 + percent))
-    after = F.least(F.col("x.n_shingles") - F.col("x.pos"), F.col("y.n_shingles") - F.col("y.pos"))
-    before = F.least("x.pos", "y.pos")
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")) & _size_fits(F.col("x.n_shingles"), F.col("y.n_shingles"), percent) & (after + before >= need))
+    total = F.col("x.n_shingles") + F.col("y.n_shingles")
+    need = F.ceil(total * F.lit(percent) / F.lit(100 + percent))
+    most = F.least("x.rest", "y.rest") + F.least("x.pos", "y.pos")
+    # two sets differ in at least as many shingles as their parity sketches in bits;
+    # a group's sketch is its head's, so groups of several members are not judged by it
+    apart = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(SKETCH)), F.lit(0))
+    close = (F.col("x.many") | F.col("y.many") | (apart <= total - 2 * need))
+    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")) & _size_fits(F.col("x.n_shingles"), F.col("y.n_shingles"), percent) & (most >= need) & close)
     cross = cross.select(F.col("x.head").alias("hx"), F.col("x.label").alias("lx"), F.col("y.head").alias("hy"), F.col("y.label").alias("ly")).distinct()
     left = placed.select(F.col("head").alias("hx"), F.col("label").alias("lx"), F.col("doc_id").alias("a"))
     right = placed.select(F.col("head").alias("hy"), F.col("label").alias("ly"), F.col("doc_id").alias("b"))

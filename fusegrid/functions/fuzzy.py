@@ -7,6 +7,7 @@ length, partial ratios, scaled down, where lengths differ.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +85,42 @@ def token_sort_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else token_sort_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@pandas_udf(StringType())
+def sorted_tokens(name: pd.Series) -> pd.Series:
+    """What token_sort_ratio compares."""
+    return name.map(lambda x: None if x is None else " ".join(sorted(x.split())))
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """``ratio`` of many pairs; strings of up to 63 code points are compared all at once."""
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    short = (la < 64) & (lb < 64)
+    out = np.full(len(a), 100.0)
+    if short.all():
+        width = max(8, -(-int(la.max(initial=0)) // 8) * 8)
+        at = np.array(a, f"<U{width}").view(np.uint32).reshape(-1, width)
+        to = np.array(b, f"<U{width}" if lb.max(initial=0) <= width else "<U64").view(np.uint32).reshape(len(b), -1)
+        full = (np.uint64(1) << la.astype(np.uint64)) - np.uint64(1)
+        row, bits = full.copy(), np.zeros((len(a), 8), np.uint8)
+        for k in range(int(lb.max(initial=0))):
+            bits[:, : width // 8] = np.packbits(at == to[:, k, None], axis=1, bitorder="little")
+            hit = np.where(k < lb, row & bits.view("<u8")[:, 0], np.uint64(0))
+            row = ((row + hit) | (row - hit)) & full
+        both = la + lb
+        np.divide(200.0 * (la - np.bitwise_count(row)), both, out=out, where=both > 0)
+        return out
+    for part in (np.flatnonzero(short), np.flatnonzero(~short)):
+        x, y = [a[k] for k in part], [b[k] for k in part]
+        out[part] = ratios(x, y) if len(part) and short[part[0]] else [ratio(i, j) for i, j in zip(x, y, strict=True)]
+    return out
+
+
+@pandas_udf(DoubleType())
+def ratio_score(a: pd.Series, b: pd.Series) -> pd.Series:
+    """ratio of strings that are not null."""
+    return pd.Series(ratios(a.tolist(), b.tolist()))
+
+
 @pandas_udf(StringType())
 def closest_skill(raw: pd.Series) -> pd.Series:
     """The canonical skill with the best weighted ratio of 80 or more, the earlier on ties."""

@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import token_sort_score
+from ..functions.fuzzy import ratio_score, sorted_tokens, token_sort_score
 from ..functions.text import strip
+from ..plans.materialize import materialize
+
+#: Names of one length that are compared with all others of a group by one task, about.
+LOT = 500
 
 
 def _companies() -> Column:
@@ -37,20 +41,91 @@ def match_phones(records: DataFrame, key: str = "record_id") -> DataFrame:
     return _pairs(_keyed(records, key, F.col("phones")), key, "phone").distinct()
 
 
+def edits(la: int, lb: int, threshold: float) -> int:
+    """The most insertions and deletions between strings of these lengths with a ratio of ``threshold``."""
+    most = int((la + lb) * (100 - threshold) / 100 + 1e-6)
+    return most - (la + lb - most) % 2
+
+
+def segment_keys(s: str, la: int, lb: int, threshold: float, probe: bool) -> set[str]:
+    """Keys of which a string of length la and one of length lb >= la share one if they are similar.
+
+    With at most ``k`` edits one of ``k + 1`` segments of the shorter string is found in the
+    longer one, not further away than the edits can move it.
+    """
+    k = edits(la, lb, threshold)
+    if k < 0:
+        return set()
+    if k + 1 > la:
+        return {""}
+    back, ahead = (k - (lb - la)) // 2, (k + lb - la) // 2
+    out = set()
+    for n in range(k + 1):
+        begin, end = n * la // (k + 1), (n + 1) * la // (k + 1)
+        moves = range(-back, ahead + 1) if probe else [0]
+        out |= {f"{n}:{s[begin + m : end + m]}" for m in moves if 0 <= begin + m and end + m <= len(s)}
+    return out
+
+
+def similar_names(holders: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): ids of ``holders`` (id, full_name, block) with a common block and a token-sort score of ``threshold``.
+
+    Each distinct name of a block is compared once. Names of two lengths are compared where
+    they share a segment key, or all with all where that makes fewer pairs; both lose none.
+    """
+    held = materialize(holders.select("id", "block", sorted_tokens("full_name").alias("s")).distinct())
+    names = materialize(held.groupBy("block", "s").agg(F.min("id").alias("rep")).withColumn("n", F.length("s")))
+    lengths = names.groupBy("block", "n").agg(F.count("*").alias("many"))
+    one = lambda x: lengths.select("block", F.col("n").alias(f"l{x}"), F.col("many").alias(f"m{x}"))
+    groups = one("a").join(one("b"), "block").where((F.col("la") <= F.col("lb")) & (F.col("la") * 200 >= (F.col("la") + F.col("lb")) * F.lit(threshold - 1e-6)))
+    every = F.col("ma") * F.col("mb")
+    groups = materialize(groups.select("block", "la", "lb", "ma", every.alias("every"), (every > 20 * (F.col("ma") + F.col("mb"))).alias("large")))
+
+    def keys(probe: bool) -> DataFrame:
+        def run(frames):
+            for frame in frames:
+                frame["key"] = [list(segment_keys(s, la, lb, threshold, probe)) for s, la, lb in zip(frame["s"], frame["la"], frame["lb"], strict=True)]
+                yield frame.explode("key").dropna(subset=["key"])
+
+        rows = names.join(groups.where("large"), ["block"]).where(F.col("n") == F.col("lb" if probe else "la")).select("block", "la", "lb", "s", "rep")
+        return materialize(rows.mapInPandas(run, f"{rows._jdf.schema().toDDL()}, key string"))
+
+    parts, by = [keys(False), keys(True)], ["block", "la", "lb", "key"]
+    x, y = (p.groupBy(by).agg(F.count("*").alias(c)) for p, c in zip(parts, ("cx", "cy"), strict=True))
+    cost = x.join(y, by).groupBy("block", "la", "lb").agg(F.sum(F.col("cx") * F.col("cy")).alias("cost"))
+    groups = materialize(groups.join(cost, ["block", "la", "lb"], "left").withColumn("whole", ~F.col("large") | (F.coalesce("cost", F.lit(0)) > F.col("every"))))
+    # all with all: lots of the one side meet the whole other side
+    lots = groups.where("whole").select("block", "la", "lb", F.ceil(F.col("ma") / LOT).cast("int").alias("lots"))
+    side = lambda d, x: d.select("block", "la", "lb", "lot", F.col("s").alias(f"s{x}"), F.col("rep").alias(f"r{x}"))
+    left = side(names.join(lots, "block").where("n = la").withColumn("lot", F.pmod(F.xxhash64("s"), F.col("lots")).cast("int")), "a")
+    right = side(names.join(lots, "block").where("n = lb").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))), "b")
+    order = (F.col("la") < F.col("lb")) | (F.col("sa") <= F.col("sb"))
+    pairs = left.join(right, ["block", "la", "lb", "lot"]).where(order).select("block", "sa", "sb", "ra", "rb")
+    some = groups.where("not whole").select("block", "la", "lb")
+    side = lambda d, x: d.join(some, ["block", "la", "lb"], "left_semi").select(*by, F.col("s").alias(f"s{x}"), F.col("rep").alias(f"r{x}"))
+    near = side(parts[0], "a").join(side(parts[1], "b"), by).where(order).select("block", "sa", "sb", "ra", "rb").distinct()
+    found = pairs.unionByName(near).where(ratio_score("sa", "sb") >= threshold).select("block", "ra", "rb")
+    ids = held.join(names.select("block", "s", "rep"), ["block", "s"])
+    of = lambda x: ids.select("block", F.col("rep").alias(f"r{x}"), F.col("id").alias(f"i{x}"))
+    links = found.join(of("a"), ["block", "ra"]).join(of("b"), ["block", "rb"])
+    # a name with itself gives each pair twice
+    links = links.where((F.col("ra") != F.col("rb")) | (F.col("ia") < F.col("ib"))).where("ia <> ib")
+    return links.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
+
+
 def match_names(records: DataFrame, key: str = "record_id", threshold: float = 85) -> DataFrame:
     """Records with a shared company and similar names, or neither with a company and nearly equal names."""
     r = records.where("full_name is not null").select(F.col(key).alias("id"), "full_name", _companies().alias("c"))
     kept = lambda d, t: d.where(token_sort_score("na", "nb") >= t).select("a", "b", F.lit("name").alias("reason")).distinct()
-    at = r.where(F.size("c") > 0).select("id", "full_name", F.explode("c").alias("block")).distinct()
+    shared = similar_names(r.where(F.size("c") > 0).select("id", "full_name", F.explode("c").alias("block")), threshold)
     side = lambda d, x: d.select(F.col("id").alias(x), F.col("full_name").alias(f"n{x}"), "block", *([F.length("full_name").alias(f"l{x}")]))
-    shared = side(at, "a").join(side(at, "b"), "block").where("a < b").select("a", "b", "na", "nb").distinct()
     # with a score of 95 or more some token is common unless all differ in a letter; sorted first letters agree then
     alone = r.where(F.size("c") == 0)
     tokens = F.array_sort(F.split(strip(F.col("full_name")), r"\s+"))
     keys = F.array_distinct(F.concat(tokens, F.array(F.array_join(F.transform(tokens, lambda t: F.substring(t, 1, 1)), ""))))
     alone = alone.select("id", "full_name", F.explode(keys).alias("block")).distinct()
     near = side(alone, "a").join(side(alone, "b"), "block").where("a < b and least(la, lb) >= 0.904 * greatest(la, lb)").select("a", "b", "na", "nb").distinct()
-    return kept(shared, threshold).unionByName(kept(near, max(95.0, threshold))).distinct()
+    return shared.withColumn("reason", F.lit("name")).unionByName(kept(near, max(95.0, threshold))).distinct()
 
 
 def match_records(records: DataFrame, key: str = "record_id", threshold: float = 85) -> DataFrame:

@@ -1,8 +1,8 @@
 """Which records describe the same person.
 
 Exact keys are equi-joins on exploded e-mails and phones; fuzzy names are compared
-only within a block: records that share a company, or, without any company, records
-that share a name token and a similar length.
+only within a block: records that share a company, or all records without any company.
+Candidates are found by a filter that loses no pair of similar names.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import ratio_score, sorted_tokens, token_sort_score
+from ..functions.fuzzy import ratio_score, sorted_tokens
 from ..functions.text import strip
 from ..plans.materialize import materialize
 
@@ -115,17 +115,11 @@ def similar_names(holders: DataFrame, threshold: float) -> DataFrame:
 
 def match_names(records: DataFrame, key: str = "record_id", threshold: float = 85) -> DataFrame:
     """Records with a shared company and similar names, or neither with a company and nearly equal names."""
-    r = records.where("full_name is not null").select(F.col(key).alias("id"), "full_name", _companies().alias("c"))
-    kept = lambda d, t: d.where(token_sort_score("na", "nb") >= t).select("a", "b", F.lit("name").alias("reason")).distinct()
+    r = records.where("full_name is not null").select(F.col(key).alias("id"), "full_name", F.coalesce(_companies(), F.array().cast("array<string>")).alias("c"))
     shared = similar_names(r.where(F.size("c") > 0).select("id", "full_name", F.explode("c").alias("block")), threshold)
-    side = lambda d, x: d.select(F.col("id").alias(x), F.col("full_name").alias(f"n{x}"), "block", *([F.length("full_name").alias(f"l{x}")]))
-    # with a score of 95 or more some token is common unless all differ in a letter; sorted first letters agree then
-    alone = r.where(F.size("c") == 0)
-    tokens = F.array_sort(F.split(strip(F.col("full_name")), r"\s+"))
-    keys = F.array_distinct(F.concat(tokens, F.array(F.array_join(F.transform(tokens, lambda t: F.substring(t, 1, 1)), ""))))
-    alone = alone.select("id", "full_name", F.explode(keys).alias("block")).distinct()
-    near = side(alone, "a").join(side(alone, "b"), "block").where("a < b and least(la, lb) >= 0.904 * greatest(la, lb)").select("a", "b", "na", "nb").distinct()
-    return shared.withColumn("reason", F.lit("name")).unionByName(kept(near, max(95.0, threshold))).distinct()
+    # records without a company are one block; a score of 95 leaves few and long segments
+    alone = similar_names(r.where(F.size("c") == 0).select("id", "full_name", F.lit("").alias("block")), max(95.0, threshold))
+    return shared.unionByName(alone).select("a", "b", F.lit("name").alias("reason")).distinct()
 
 
 def match_records(records: DataFrame, key: str = "record_id", threshold: float = 85) -> DataFrame:

@@ -63,3 +63,14 @@ def test_query_takes_all_records(spark, tmp_path):
     spark.range(0).selectExpr("id as p_partkey", "'x' as p_name", "'x' as p_brand", "1 as p_size").write.parquet(f"{tmp_path}/part.parquet")
     got = {(r["a"], r["b"]) for r in queries.match_name(spark, str(tmp_path)).collect()}
     assert got == {(3 * a, 3 * b) for a in range(400, 404) for b in range(a + 1, 404)}
+
+
+def test_names_without_company(spark):
+    rng = random.Random(6)
+    fresh = ["".join(rng.choices("abcdefghijklmnop", k=9)) + " " + "".join(rng.choices("abcdefghijklmnop", k=10)) for _ in range(300)]
+    close = [f"{n[:k]}z{n[k + 1 :]}" for k, n in enumerate(fresh[:12])] + [f"z{n}" for n in fresh[20:30]]
+    long = ["Katarzyna Wojciechowska-Brzezinska", "Catarzyna Wojciechowska-Brzeinska"]
+    rows = [(k, n, [] if k % 9 else None) for k, n in enumerate(names(7, 150) + fresh + close + long)]
+    got = {(r["a"], r["b"]) for r in match.match_names(records(spark, rows)).collect()}
+    assert (len(rows) - 2, len(rows) - 1) in got
+    assert got == brute([(k, n, f or []) for k, n, f in rows], 95, False)

@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's ``docs``.
+
+Every stage decides on rows, so a row stays once or goes, with its own lang and source.
+Rows that share a doc_id are one document to line dedup and the Jaccard join: they
+lose nothing to each other, and each is judged by its own text. Rows with a null
+doc_id are nobody's copy: only the rules, which look at a text alone, drop them.
 """
 
 from __future__ import annotations
@@ -22,35 +27,50 @@ from fusegrid.llm.store import shared_parquet
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _rewritten(docs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
-    """``docs`` with the new texts, without the rows that ``texts`` lacks."""
-    new = texts.select("doc_id", F.col(column).alias("new_text"))
-    joined = docs.drop("text", "n_chars").join(new, "doc_id")
-    return joined.select("doc_id", F.col("new_text").alias("text"), "lang", "source", F.length("new_text").cast("bigint").alias("n_chars"))
+CARRIED = ("lang", "source")
+
+
+def _rewritten(texts: DataFrame, column: str) -> DataFrame:
+    """An operator's rows, which carry lang and source, as documents with the new texts."""
+    return texts.select("doc_id", F.col(column).alias("text"), *CARRIED, F.length(column).cast("bigint").alias("n_chars"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key that only rows with the same doc_id and text share."""
+    return docs.withColumn("row_key", F.xxhash64("doc_id", F.col("text").isNull(), "text"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rejected documents, and failing lines from the others."""
-    return _rewritten(docs, quality(docs).where("kept"), "clean_text")
+    return _rewritten(quality(docs, carry=CARRIED).where("kept"), "clean_text")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that an earlier document holds, and documents of which nothing is left."""
-    out = _rewritten(docs, dedup_lines(docs), "kept_text")
+    out = _rewritten(dedup_lines(docs, carry=CARRIED), "kept_text")
     return out.where(F.trim("text", F.lit(" \t\n\x0b\x0c\r")) != "")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates."""
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(COLUMNS)
+    """Keeps the document with the smallest doc_id of each group of near duplicates.
+
+    The join runs on row keys, so that texts under one doc_id stay apart.
+    """
+    keyed = _keyed(docs)
+    near = near_duplicates(keyed.where("doc_id is not null").select("row_key", "text"), id_col="row_key")
+    label = near.select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    placed = shared_parquet(keyed.where("doc_id is not null").select("doc_id", "row_key").distinct().join(label, "row_key"))
+    first = placed.groupBy("component_id").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    later = placed.join(first, "component_id").where("doc_id > first").select("row_key")
+    return keyed.join(later, (keyed["row_key"] == later["row_key"]) & keyed["doc_id"].isNotNull(), "left_anti").select(COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    hits = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    clean = hits.where(F.size("items") == 0).select("doc_id")
-    return docs.join(clean, "doc_id", "left_semi").select(COLUMNS)
+    keyed = _keyed(docs)
+    hits = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row_key")
+    leaked = hits.where(F.size("items") > 0).select(F.col("doc_id").alias("row_key")).distinct()
+    return keyed.join(leaked, "row_key", "left_anti").select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

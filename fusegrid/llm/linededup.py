@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from .native import lines_of, lower_ascii, strip_blanks, whole
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_dropped and the rewritten ``kept_text``."""
-    d = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text")).withColumn("version", F.xxhash64("text"))
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_lines, n_dropped, the rewritten ``kept_text`` and the columns in ``carry``."""
+    taken = [F.struct(*carry).alias("carried")] if carry else []
+    d = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text"), *taken).withColumn("version", F.xxhash64("text"))
     lines = d.select("doc_id", "version", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     key = lower_ascii(strip_blanks(F.col("line")))
     lines = lines.withColumn("key", key).where(F.length("key") >= min_chars)
@@ -45,4 +46,5 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size("stay")).cast("bigint").alias("n_dropped"),
         F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n").alias("kept_text"),
+        *[F.col("carried")[c].alias(c) for c in carry],
     )

@@ -76,10 +76,11 @@ def line_fails(line: Column) -> Column:
     )
 
 
-def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat: float = 0.5, min_kept: float = 0.5) -> DataFrame:
-    """One row per input row: counts, ``base_failed``, ``kept_share``, ``kept`` and ``clean_text``."""
+def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat: float = 0.5, min_kept: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: counts, ``base_failed``, ``kept_share``, ``kept``, ``clean_text`` and the columns in ``carry``."""
     text = F.col("text")
-    d = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text"))
+    taken = [F.struct(*carry).alias("carried")] if carry else []
+    d = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text_col)).alias("text"), *taken)
     d = d.withColumn("words", spaced_words(text)).withColumn("lines", lines_of(text))
     grams, ordered, starts = repeated_window_words(F.col("words"))
     d = d.withColumn("grams", grams).withColumn("ordered", ordered)
@@ -96,6 +97,7 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         (F.size("filled") - F.size(F.array_distinct("filled"))).cast("bigint").alias("n_dup_lines"),
         covered_words(starts).cast("bigint").alias("n_repeat_words"),
         F.array_join("clean_lines", "\n").alias("clean_text"),
+        *[F.col("carried")[c].alias(c) for c in carry],
     )
     d = d.withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words")))
     d = d.withColumn("kept_share", F.when(F.col("word_chars") > 0, _absent(F.col("clean_text"), BLANKS) / F.col("word_chars")).otherwise(F.lit(0.0)))

@@ -7,12 +7,14 @@ length, partial ratios, scaled down, where lengths differ.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from ..schema import CANONICAL_SKILLS
 from .text import strip
@@ -121,15 +123,29 @@ def ratio_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(ratios(a.tolist(), b.tolist()))
 
 
+@lru_cache(1 << 16)
+def nearest_skill(x: str) -> str | None:
+    """The canonical skill with the best weighted ratio of 80 or more, the earlier on ties."""
+    score, name = max(((weighted_ratio(x, n), -k) for k, n in enumerate(CANONICAL_SKILLS)), default=(0.0, 0))
+    return CANONICAL_SKILLS[-name] if score >= 80 else None
+
+
 @pandas_udf(StringType())
 def closest_skill(raw: pd.Series) -> pd.Series:
-    """The canonical skill with the best weighted ratio of 80 or more, the earlier on ties."""
+    """nearest_skill of each value, null for null or empty."""
+    return raw.map(lambda x: nearest_skill(x) if x else None)
+
+
+@pandas_udf(ArrayType(StringType()))
+def closest_skills(raws: pd.Series) -> pd.Series:
+    """nearest_skill of each element, null for null or empty; a worker scores a value once."""
+    return raws.map(lambda r: None if r is None else [nearest_skill(x) if x else None for x in r])
 
-    def best(x: str) -> str | None:
-        score, name = max(((weighted_ratio(x, n), -k) for k, n in enumerate(CANONICAL_SKILLS)), default=(0.0, 0))
-        return CANONICAL_SKILLS[-name] if score >= 80 else None
 
-    return raw.map(lambda x: best(x) if x else None)
+def near_skills(raws: Column) -> Column:
+    """Fuzzy matches by position for the values that are no alias; without such values no array."""
+    open_ = F.transform(raws, lambda x: F.when(exact_skill(x).isNull(), strip(x)))
+    return closest_skills(F.when(F.exists(open_, lambda x: F.coalesce(x, F.lit("")) != ""), open_))
 
 
 def fuzzy_skills(df: DataFrame, column: str) -> DataFrame:

@@ -69,14 +69,17 @@ def exact_skill(raw: Column) -> Column:
     return lookup(SKILL_ALIASES, F.lower(strip(raw)), None)
 
 
-def normal_skill(raw: Column) -> Column:
-    """Alias table first, then title case; '' for null or blank (fuzzy matches: functions.fuzzy)."""
+def normal_skill(raw: Column, near: Column | None = None) -> Column:
+    """Alias table first, then ``near`` (a fuzzy match, from functions.fuzzy), then title case; '' for null or blank."""
     bare = strip(raw)
-    return F.when(F.coalesce(bare, F.lit("")) == "", F.lit("")).otherwise(F.coalesce(exact_skill(bare), title_case(bare)))
+    found = [exact_skill(bare)] if near is None else [exact_skill(bare), near]
+    return F.when(F.coalesce(bare, F.lit("")) == "", F.lit("")).otherwise(F.coalesce(*found, title_case(bare)))
 
 
-def normal_skills(raws: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(raws, normal_skill), lambda x: x != ""))
+def normal_skills(raws: Column, near: Column | None = None) -> Column:
+    """Distinct normalised skills; ``near`` holds fuzzy matches by position."""
+    made = F.transform(raws, normal_skill) if near is None else F.transform(raws, lambda x, i: normal_skill(x, F.get(near, i)))
+    return F.array_distinct(F.filter(made, lambda x: x != ""))
 
 
 def trust_of(source: Column, default: float = UNKNOWN_TRUST) -> Column:

@@ -1,4 +1,4 @@
-"""Source records to canonical records with provenance (native)."""
+"""Source records to canonical records with provenance (native, but for fuzzy skills)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from ..functions.fuzzy import near_skills
 from ..schema import CANONICAL, EDUCATION, EXPERIENCE, PROVENANCE, SKILL
 
 
@@ -34,8 +35,8 @@ def _none() -> Column:
 
 
 def _pairs(raws: Column, normal) -> Column:
-    """Normalised values with what they came from; values that fail are left out, the first spelling stays."""
-    both = F.transform(raws, lambda x: F.struct(normal(x).alias("value"), x.alias("raw")))
+    """Normalised values (of a value and its place) with what they came from; values that fail are left out, the first spelling stays."""
+    both = F.transform(raws, lambda x, i: F.struct(normal(x, i).alias("value"), x.alias("raw")))
     good = F.filter(both, lambda p: F.coalesce(p["value"], F.lit("")) != "")
     return F.filter(good, lambda p, i: F.array_position(F.transform(good, lambda q: q["value"]), p["value"]) == i + 1)
 
@@ -61,7 +62,9 @@ def from_csv(rows: DataFrame, keys: list[str]) -> DataFrame:
     email = T.blank_to_null(F.lower(T.strip(col("email"))))
     phone = V.e164(col("phone"))
     title, company = V.first_filled(col("title"), col("job_title"), col("position")), V.first_filled(col("current_company"), col("company"))
-    names = V.normal_skills(V.csv_skills(F.coalesce(col("skills"), F.lit(""))))
+    raws = V.csv_skills(F.coalesce(col("skills"), F.lit("")))
+    rows = rows.withColumn("near_skills", near_skills(raws))
+    names = V.normal_skills(raws, F.col("near_skills"))
     job = F.struct(company.alias("company"), F.coalesce(title, F.lit("")).alias("title"), F.lit(None).alias("start"), F.lit(None).alias("end"), F.lit(None).alias("summary")).cast(EXPERIENCE)
     made = {
         "full_name": name,
@@ -80,8 +83,12 @@ def from_csv(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _inputs(df: DataFrame, keys: list[str], more: list[str]) -> DataFrame:
-    """Inputs under names of their own, apart from the columns made of them."""
-    return df.select(*keys, *[F.col(c).alias(f"in_{c}") for c in ["full_name", "emails", "phones", "location", "headline", "skills", "experience", "education", *more]])
+    """Inputs under names of their own, apart from the columns made of them, and the fuzzy matches of the skills."""
+    return df.select(*keys, *[F.col(c).alias(f"in_{c}") for c in ["full_name", "emails", "phones", "location", "headline", "skills", "experience", "education", *more]], near_skills(F.col("skills")).alias("near_skills"))
+
+
+def _near_skill(raw: Column, place: Column) -> Column:
+    return V.normal_skill(raw, F.get("near_skills", place))
 
 
 def _history(df: DataFrame) -> tuple[Column, Column]:
@@ -102,7 +109,7 @@ def from_resume(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """Parsed résumés as canonical records."""
     src = "resume"
     parsed = _inputs(parsed, keys, [])
-    phones, skills = _pairs(F.col("in_phones"), V.e164), _pairs(F.col("in_skills"), V.normal_skill)
+    phones, skills = _pairs(F.col("in_phones"), lambda x, i: V.e164(x)), _pairs(F.col("in_skills"), _near_skill)
     jobs, schools = _history(parsed)
     plain = F.transform("in_emails", lambda x: F.struct(x.alias("value"), x.alias("raw")))
     made = {
@@ -122,7 +129,7 @@ def from_profile(profiles: DataFrame, keys: list[str]) -> DataFrame:
     """JSON or HTML profiles as canonical records; phones and headline leave no provenance."""
     src, how = "linkedin", "linkedin_field"
     profiles = _inputs(profiles, keys, ["links"])
-    phones, skills = _pairs(F.col("in_phones"), V.e164), _pairs(F.col("in_skills"), V.normal_skill)
+    phones, skills = _pairs(F.col("in_phones"), lambda x, i: V.e164(x)), _pairs(F.col("in_skills"), _near_skill)
     jobs, schools = _history(profiles)
     plain = lambda c: F.transform(c, lambda x: F.struct(x.alias("value"), x.alias("raw")))
     made = {

@@ -42,7 +42,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rejected documents, and failing lines from the others."""
-    return _rewritten(quality(docs, carry=CARRIED).where("kept"), "clean_text")
+    # a column that is not deterministic keeps the filter above the rules; pushed down, it
+    # would sort a text's windows anew for each window
+    judged = quality(docs, carry=CARRIED).withColumn("row", F.monotonically_increasing_id())
+    return _rewritten(judged.where("kept and row >= 0"), "clean_text")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

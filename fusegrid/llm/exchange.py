@@ -9,28 +9,42 @@ blocks; and each block gets back the values of its own keys, in its own order.
 
     docs -> block: distinct keys, packed -> bucket: one value a key -> block: result
 
+The parts of all blocks that a task reads travel together, one row a bucket, so there
+are as many rows as Spark's own shuffle has segments, tasks times buckets; buckets are
+sized by what a worker can hold, whatever the blocks are.
+
 A key that many documents hold costs one entry a block, and a bucket is an even
-share of the 64-bit range, so no task gathers more than its share.  The documents'
+share of the range of keys, so no task gathers more than its share.  Blocks are dealt
+by id and text, so rows with one id or without an id spread as others do.  The documents'
 exchange is the same for both visits to a block, so Spark reuses it.  All steps are
 deterministic, so whatever a lost executor held can be computed again.
+
+Limits: a text is never divided.  It takes some forty times its size in the worker
+that reads it, so texts should stay below a fortieth of a worker's memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 #: Text of a block, about; a block's arrays take some twenty times this at most.
 BLOCK_BYTES = 8 << 20
+#: Text whose keys one bucket holds, about; its arrays take some ten times this.
+BUCKET_BYTES = 16 << 20
+#: Bits of a filter key beyond those that number all keys: one key in 2**12 or so is
+#: taken for another one, which a filter may do.
+SPARE_BITS = 12
+#: Packed bytes that a task holds before it gives rows out.
+HELD_BYTES = 24 << 20
 ANSWER = "block int, bucket int, places binary, found binary"
+PACKED = "bucket int, blocks array<int>, counts array<int>, keys array<binary>, vals array<binary>"
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -57,23 +71,37 @@ def expand_sorted(raw: bytes, count: int) -> np.ndarray:
     return np.cumsum(expand(raw, count), dtype=np.uint64)
 
 
-def edges(buckets: int) -> np.ndarray:
-    """Lower bounds of the buckets in the 64-bit range."""
-    return np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
+@dataclass(frozen=True)
+class Layout:
+    """How many blocks and buckets there are, and how many bits a filter key has."""
+
+    blocks: int
+    buckets: int
+    bits: int
+
+    def edges(self, bits: int) -> np.ndarray:
+        """Lower bounds of the buckets in the range of keys of ``bits`` bits."""
+        return np.array([(k << bits) // self.buckets for k in range(self.buckets)], np.uint64)
+
+
+def layout(docs: DataFrame, text: str = "text") -> Layout:
+    """The layout for the bytes of a string column."""
+    total = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    return Layout(max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES)), min(64, total.bit_length() + SPARE_BITS))
 
 
 @dataclass
 class Asked:
-    """What a block asks: sorted distinct keys, a value of its own for each, and its state."""
+    """What a block asks: sorted keys (equal ones differ in a value), values of its own for each, and its state."""
 
     keys: np.ndarray
-    values: np.ndarray
+    values: tuple[np.ndarray, ...] = ()
     state: dict = field(default_factory=dict)
 
 
-#: Gets a bucket's keys in order with the block and the value of each entry (equal keys
+#: Gets a bucket's keys in order with the block and the values of each entry (equal keys
 #: are adjacent, by block); gives a mask of the entries to answer and the answers.
-Reduce = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+Reduce = Callable[[np.ndarray, np.ndarray, list[np.ndarray]], tuple[np.ndarray, np.ndarray]]
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,62 +111,92 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def block_count(docs: DataFrame, size: str, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks for the bytes of a string or binary column, or for an array of longs."""
-    width = F.octet_length(size) if dict(docs.dtypes)[size] in ("string", "binary") else F.size(size) * 8
-    total = docs.agg(F.sum(width)).first()[0] or 0
-    return max(1, -(-int(total) // block_bytes))
-
-
-def deal(docs: DataFrame, count: int) -> DataFrame:
-    """Adds the column ``block``, even over doc_id."""
-    return docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int"))
-
-
-def deal_ranges(docs: DataFrame, count: int) -> DataFrame:
-    """Adds the column ``block``, which rises with doc_id; null ids are in the first block."""
-    share = [k / count for k in range(1, count)]
-    found = docs.agg(F.percentile_approx("doc_id", share, 10 * count + 1000)).first()[0] if share else []
-    bounds = np.unique(np.array(found or [], np.int64))
-
-    @F.pandas_udf(IntegerType())
-    def block(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), side="right").astype(np.int32))
-
-    lowest = F.lit(int(np.iinfo(np.int64).min)).cast("bigint")
-    return docs.withColumn("block", block(F.coalesce("doc_id", lowest)))
-
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs."""
+    keys = np.sort(keys)
+    first, _ = runs(keys)
+    return keys[first], np.diff(np.append(first, len(keys)))
 
-def _packed(block: int, asked: Asked, buckets: int) -> pa.Table:
-    bounds = np.append(np.searchsorted(asked.keys, edges(buckets)), len(asked.keys))
-    rows = {"block": [], "bucket": [], "n": [], "keys": [], "vals": []}
-    for k in np.flatnonzero(np.diff(bounds)).tolist():
-        a, b = bounds[k], bounds[k + 1]
-        rows["block"].append(block)
-        rows["bucket"].append(k)
-        rows["n"].append(int(b - a))
-        rows["keys"].append(squeeze_sorted(asked.keys[a:b]))
-        rows["vals"].append(squeeze(asked.values[a:b]))
-    return pa.table({k: pa.array(v, pa.binary() if k in ("keys", "vals") else pa.int32()) for k, v in rows.items()})
 
+def deal(docs: DataFrame, plan: Layout) -> DataFrame:
+    """Adds the column ``block`` and brings the rows of a block together."""
+    spread = F.xxhash64("doc_id", "text")
+    return docs.withColumn("block", F.pmod(spread, F.lit(plan.blocks)).cast("int")).repartition("block")
+
+
+class Packer:
+    """Collects the parts of several blocks and gives them out as one row a bucket."""
+
+    def __init__(self, bounds: np.ndarray):
+        self.bounds = bounds
+        self.rows: dict[int, tuple[list, list, list, list]] = {}
+        self.size = 0
+
+    def add(self, block: int, asked: Asked) -> None:
+        cut = np.append(np.searchsorted(asked.keys, self.bounds), len(asked.keys))
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            a, b = int(cut[k]), int(cut[k + 1])
+            blocks, counts, keys, vals = self.rows.setdefault(k, ([], [], [], []))
+            blocks.append(block)
+            counts.append(b - a)
+            keys.append(squeeze_sorted(asked.keys[a:b]))
+            vals += [squeeze(v[a:b]) for v in asked.values]
+            self.size += len(keys[-1]) + sum(map(len, vals[len(vals) - len(asked.values) :]))
+
+    def drain(self) -> pa.RecordBatch:
+        names = sorted(self.rows)
+        kinds = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary())]
+        columns = [pa.array([self.rows[k][i] for k in names], kind) for i, kind in enumerate(kinds)]
+        self.rows, self.size = {}, 0
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *columns], ["bucket", "blocks", "counts", "keys", "vals"])
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """The blocks of a partition that is sorted by block."""
+    number, held = None, []
+    for batch in batches:
+        blocks = batch["block"].to_numpy()
+        first, _ = runs(blocks)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(blocks)], strict=True):
+            if held and blocks[a] != number:
+                yield number, pa.Table.from_batches(held)
+                held = []
+            number = int(blocks[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield number, pa.Table.from_batches(held)
+
+
+def _asker(emit: Callable[[pa.Table], Asked], bounds: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(bounds)
+        for block, table in _one_by_one(batches):
+            packer.add(block, emit(table))
+            if packer.size >= HELD_BYTES:
+                yield packer.drain()
+        if packer.rows:
+            yield packer.drain()
 
-PACKED = "block int, bucket int, n int, keys binary, vals binary"
+    return run
 
 
-def gather(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    """A bucket's entries in order of key and block, and where each block's are."""
-    parts = sorted(zip(*(table[c].to_pylist() for c in ("block", "n", "keys", "vals")), strict=True), key=lambda x: x[0])
+def gather(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray, list]:
+    """A bucket's keys, values and blocks part by part, their order, and (block, size) of the parts."""
+    parts = []
+    for blocks, counts, keys, vals in zip(*(table[c].to_pylist() for c in ("blocks", "counts", "keys", "vals")), strict=True):
+        width = len(vals) // len(blocks)
+        parts += [(b, n, keys[i], vals[i * width : (i + 1) * width]) for i, (b, n) in enumerate(zip(blocks, counts, strict=True))]
+    parts.sort(key=lambda x: x[0])
     keys = np.concatenate([expand_sorted(k, n) for _, n, k, _ in parts])
-    vals = np.concatenate([expand(v, n) for _, n, _, v in parts])
+    vals = [np.concatenate([expand(v[i], n) for _, n, _, v in parts]) for i in range(len(parts[0][3]))]
     block = np.repeat(np.array([b for b, _, _, _ in parts], np.int32), [n for _, n, _, _ in parts])
-    order = np.argsort(keys, kind="stable")
-    return keys, vals, block, [order, [(b, n) for b, n, _, _ in parts]]
+    return keys, vals, block, np.argsort(keys, kind="stable"), [(b, n) for b, n, _, _ in parts]
 
 
 def _reducer(reduce: Reduce) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        keys, vals, block, (order, parts) = gather(table)
-        mask, answer = reduce(keys[order], block[order], vals[order])
+        keys, vals, block, order, parts = gather(table)
+        mask, answer = reduce(keys[order], block[order], [v[order] for v in vals])
         full, value = np.zeros(len(keys), bool), np.zeros(len(keys), np.uint64)
         full[order], value[order] = mask, answer
         bucket, at = table["bucket"][0].as_py(), 0
@@ -155,38 +213,25 @@ def _reducer(reduce: Reduce) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def answers(blocks: DataFrame, emit: Callable[[pa.Table], Asked], reduce: Reduce, buckets: int) -> DataFrame:
-    """What each block gets back, as packed rows."""
-    asked = blocks.groupBy("block").applyInArrow(lambda t: _packed(t["block"][0].as_py(), emit(t), buckets), PACKED)
-    return asked.groupBy("bucket").applyInArrow(_reducer(reduce), ANSWER)
-
-
-def received(keys: np.ndarray, table: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def received(keys: np.ndarray, table: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the answered keys among a block's own keys, in order, and the answers."""
-    bounds = np.searchsorted(keys, edges(buckets))
+    start = np.searchsorted(keys, bounds)
     places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for bucket, p, f in sorted(zip(*(table[c].to_pylist() for c in ("bucket", "places", "found")), strict=True)):
         n = int.from_bytes(p[-4:], "little")
-        places.append(expand_sorted(p[:-4], n).astype(np.int64) + bounds[bucket])
+        places.append(expand_sorted(p[:-4], n).astype(np.int64) + start[bucket])
         found.append(expand(f, n))
     return np.concatenate(places), np.concatenate(found)
 
 
-def ask(blocks: DataFrame, emit: Callable[[pa.Table], Asked], reduce: Reduce, finish: Callable[[pa.Table, Asked, np.ndarray, np.ndarray], pa.Table], schema: str, buckets: int) -> DataFrame:
-    """The whole exchange; ``finish`` gets a block, what it asked, and the answers."""
+def ask(blocks: DataFrame, emit: Callable[[pa.Table], Asked], reduce: Reduce, finish: Callable[[pa.Table, Asked, np.ndarray, np.ndarray], pa.Table], schema: str, plan: Layout, bits: int = 64) -> DataFrame:
+    """The whole exchange over keys of ``bits`` bits; ``finish`` gets a block, what it asked, and the answers."""
+    bounds = plan.edges(bits)
 
     def last(block: pa.Table, got: pa.Table) -> pa.Table:
         asked = emit(block)
-        return finish(block, asked, *received(asked.keys, got, buckets))
+        return finish(block, asked, *received(asked.keys, got, bounds))
 
-    told = answers(blocks, emit, reduce, buckets)
+    asked = blocks.sortWithinPartitions("block").mapInArrow(_asker(emit, bounds), PACKED)
+    told = asked.groupBy("bucket").applyInArrow(_reducer(reduce), ANSWER)
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(last, schema)
-
-
-def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and how often each occurs."""
-    keys = np.sort(keys)
-    first, _ = runs(keys)
-    return keys[first], np.diff(np.append(first, len(keys)))
-
-

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import PACKED, Asked, _packed, ask, block_count, deal, gather, runs
+from .exchange import PACKED, Asked, Packer, ask, deal, gather, layout, runs
 from .words import SPACED, Words, codes, mix, pieces, shingle
 
 BEGIN, END = codes(11, 2)
@@ -87,14 +87,14 @@ def _emit(order: int) -> Callable[[pa.Table], Asked]:
         at = [np.full(len(seq), -1, np.int64) for _ in range(order + 1)]
         for m, (end, which) in enumerate(levels, 1):
             at[m][end] = place[cut[m - 1] + which]
-        return Asked(joined[order_of], np.concatenate(values)[order_of], {"first": first, "at": at})
+        return Asked(joined[order_of], (np.concatenate(values)[order_of],), {"first": first, "at": at})
 
     return emit
 
 
-def _total(keys: np.ndarray, block: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _total(keys: np.ndarray, block: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     first, run = runs(keys)
-    total = np.add.reduceat(count, first)[run] if len(keys) else count
+    total = np.add.reduceat(values[0], first)[run]
     return total > 0, total
 
 
@@ -188,15 +188,20 @@ def _finish(total: int, types: int, add: float, strength: float):
     return finish
 
 
-def _vocabulary(buckets: int, block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: Text whose distinct tokens a task holds before it sends them on.
+HELD_TEXT = 16 << 20
+
+
+def _vocabulary(bounds: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def packed() -> Iterator[pa.RecordBatch]:
-            keys = np.concatenate([k for k, _ in held])
-            known, which = np.unique(keys, return_inverse=True)
+        def packed() -> pa.RecordBatch:
+            known, which = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
             count = np.bincount(which, np.concatenate([c for _, c in held]), len(known)).astype(np.uint64)
-            yield from _packed(0, Asked(known, count), buckets).to_batches()
+            packer = Packer(bounds)
+            packer.add(0, Asked(known, (count,)))
+            return packer.drain()
 
         for batch in batches:
             for _, _, w in pieces(batch, kind=SPACED, lower=True):
@@ -204,23 +209,23 @@ def _vocabulary(buckets: int, block_bytes: int) -> Callable[[Iterator[pa.RecordB
                 known, count = np.unique(tokens, return_counts=True)
                 held.append((mix(known), count))
                 size += len(w.data)
-                if size >= 2 * block_bytes:
-                    yield from packed()
+                if size >= HELD_TEXT:
+                    yield packed()
                     held, size = [], 0
         if held:
-            yield from packed()
+            yield packed()
 
     return run
 
 
 def _bucket_totals(table: pa.Table) -> pa.Table:
-    keys, count, _, _ = gather(table)
-    return pa.table({"tokens": [int(count.sum())], "types": [len(np.unique(keys))]})
+    keys, vals, _, _, _ = gather(table)
+    return pa.table({"tokens": [int(vals[0].sum())], "types": [len(np.unique(keys))]})
 
 
-def corpus_totals(docs: DataFrame, buckets: int, block_bytes: int = 8 << 20) -> tuple[int, int]:
-    """Tokens and distinct tokens of (text) rows."""
-    parts = docs.select("text").mapInArrow(_vocabulary(buckets, block_bytes), PACKED)
+def corpus_totals(docs: DataFrame, bounds: np.ndarray) -> tuple[int, int]:
+    """Tokens and distinct tokens of (text) rows; ``bounds`` are the lower bounds of the buckets."""
+    parts = docs.select("text").mapInArrow(_vocabulary(bounds), PACKED)
     row = parts.groupBy("bucket").applyInArrow(_bucket_totals, "tokens bigint, types bigint").agg(F.sum("tokens"), F.sum("types")).first()
     return row[0] or 0, row[1] or 0
 
@@ -233,7 +238,7 @@ def score_lm(docs: DataFrame, train: Column, *, id_col: str = "doc_id", text_col
     if order < 2:
         raise ValueError("order must be 2 or more")
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    count = block_count(slim, "text")
-    total, types = corpus_totals(slim.where("train"), count)
+    plan = layout(slim)
+    total, types = corpus_totals(slim.where("train"), plan.edges(64))
     schema = "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return ask(deal(slim, count), _emit(order), _total, _finish(total, types, add, strength), schema, count)
+    return ask(deal(slim, plan), _emit(order), _total, _finish(total, types, add, strength), schema, plan)

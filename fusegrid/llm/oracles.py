@@ -122,26 +122,16 @@ from d left join c on d.doc_id = c.doc_id left join t on d.doc_id = t.doc_id"""
 
 
 def _substrings() -> str:
-    """A window's key is the hash of its words, then of its two halves' keys, level by level."""
-    levels = ["g0 as materialized (select doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) as h from (select doc_id, words, unnest(range(1, len(words) - 11)) as i from w where len(words) > 12))"]
-    levels += [
-        f"g{k} as materialized (select doc_id, i, md5(h || half) as h from (select doc_id, i, h, lead(h, {13 << (k - 1)}) over (partition by doc_id order by i) as half from g{k - 1}) where half is not null)" for k in range(1, 12)
-    ]
-    every = "\nunion all ".join(f"select {13 << k} as level, doc_id, i, h from g{k}" for k in range(12))
     return rf"""
 with w as (select doc_id, regexp_extract_all(coalesce(text, ''), {SPACED}) as words from documents),
-{", ".join(levels)},
-g as ({every}),
-f as (select level, h, min(doc_id) as first from g group by level, h having count(distinct doc_id) > 1),
-r as (select doc_id, i, first, level from g join f using (level, h)),
-x as (select distinct doc_id, unnest(range(i, i + 13)) as place from r where level = 13 and doc_id > first),
-l as (select doc_id, max(level) as longest from r group by doc_id),
+g as materialized (select doc_id, i, md5(array_to_string(words[i:i + 12], ' ')) as h from (select doc_id, words, unnest(range(1, len(words) - 11)) as i from w where len(words) > 12)),
+f as (select h, min(doc_id) as first from g group by h having count(distinct doc_id) > 1),
+x as (select distinct doc_id, unnest(range(i, i + 13)) as place from g join f using (h) where doc_id > first),
 t as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as place from w),
 k as (select doc_id, string_agg(word, ' ' order by place) as kept from t anti join x using (doc_id, place) group by doc_id),
 n as (select doc_id, count(*) as removed from x group by doc_id)
-select w.doc_id, len(words)::bigint as n_words, coalesce(removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256,
-  coalesce(longest, 0)::bigint as longest_repeat
-from w left join k on w.doc_id = k.doc_id left join n on w.doc_id = n.doc_id left join l on w.doc_id = l.doc_id"""
+select w.doc_id, len(words)::bigint as n_words, coalesce(removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join k on w.doc_id = k.doc_id left join n on w.doc_id = n.doc_id"""
 
 
 ORACLE_SQL = {

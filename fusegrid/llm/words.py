@@ -47,11 +47,11 @@ SPACED = ~((_EVERY == 32) | ((_EVERY >= 9) & (_EVERY <= 13)))
 ALNUM = (_EVERY >= 128) | ((_EVERY >= 48) & (_EVERY <= 57)) | ((_EVERY >= 97) & (_EVERY <= 122)) | _UPPER
 
 
-def hash_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def hash_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each byte run; runs of one length up to eight bytes never collide."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
-    out = sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out = sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
     rest, at, rows = sizes, starts, None
     while len(rest):
         word = eight[at] & _KEEP[np.minimum(rest, 8)]
@@ -165,6 +165,3 @@ def pieces(table: pa.Table | pa.RecordBatch, text: str = "text", kind: np.ndarra
         part = offsets[at : end + 1]
         yield at, end, Words(data[part[0] : part[-1]], part - part[0], kind, lower)
 
-
-def binaries(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())

@@ -283,7 +283,7 @@ def test_substring_dedup(docs):
                         gone |= set(range(at, at + 13))
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         want.append((i, len(w), len(gone), kept, hashlib.sha256(kept.encode()).hexdigest(), longest))
-    assert by_id(dedup_substrings(docs), "n_words", "n_removed", "kept_text", "kept_sha256", "longest_repeat") == sorted(want, key=repr)
+    assert by_id(dedup_substrings(docs, longest=True), "n_words", "n_removed", "kept_text", "kept_sha256", "longest_repeat") == sorted(want, key=repr)
 
 
 def test_toxicity_ignores_group_names(spark):

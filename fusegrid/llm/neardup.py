@@ -46,7 +46,7 @@ from .exchange import Asked, ask, deal, distinct, layout, runs
 from .store import drop_parquet, release, shared_parquet
 from .words import SPACED, Words, mix, pieces, shingle, window_starts
 
-SETS = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, shared bigint, prefix array<bigint>, sketch array<bigint>, shingles array<bigint>"
+SETS = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, shared bigint, width int, sketch array<bigint>, shingles array<bigint>"
 #: Words of 64 bits in a set's parity sketch.
 SKETCH = 16
 #: Words of a sketch folded for the hubs: parities of the parities.
@@ -111,17 +111,18 @@ def _finish(percent: int, shift: int):
         order = np.lexsort((key, held, text))
         rank = np.arange(len(key)) - start[text]
         use = (held[order] > 1) & (rank < prefix_length(n, percent)[text])
-        chosen = key[order][use].view(np.int64)
         count = np.bincount(text[use], minlength=table.num_rows)
-        pre = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(chosen))
         full = np.repeat(count > 0, n)
         bits = np.zeros((table.num_rows, 64 * SKETCH), np.uint8)
         np.bitwise_xor.at(bits, (text[full], (key[full] >> np.uint64(40)).astype(np.int64) % (64 * SKETCH)), 1)
         words = np.packbits(bits[count > 0], axis=1).view(np.int64).reshape(-1)
         sketch = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(count > 0, SKETCH, 0))).astype(np.int32)), pa.array(words))
         kept = np.where(count > 0, n, 0)
-        sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(kept)).astype(np.int32)), pa.array(key[full].view(np.int64)))
-        return pa.table({"doc_id": table["doc_id"], "n_shingles": pa.array(n, pa.int64()), "f1": f1.view(np.int64), "f2": f2.view(np.int64), "shared": pa.array(np.bincount(text[held > 1], minlength=table.num_rows), pa.int64()), "prefix": pre, "sketch": sketch, "shingles": sets})
+        # a set's shared prefix comes first, then its other shingles
+        ahead = np.lexsort((~use, text))
+        sets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(kept)).astype(np.int32)), pa.array(key[order][ahead][full].view(np.int64)))
+        shared = np.bincount(text[held > 1], minlength=table.num_rows)
+        return pa.table({"doc_id": table["doc_id"], "n_shingles": pa.array(n, pa.int64()), "f1": f1.view(np.int64), "f2": f2.view(np.int64), "shared": pa.array(shared, pa.int64()), "width": pa.array(count, pa.int32()), "sketch": sketch, "shingles": sets})
 
     return finish
 
@@ -131,9 +132,11 @@ def _size_fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs (a, b) of classes whose sets are similar enough."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    """The distinct pairs (a, b) of classes whose sets are similar enough; only sets of pairs are moved."""
+    pairs = shared_parquet(pairs)
+    used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = sets.select("doc_id", "shingles").join(used, "doc_id", "left_semi")
+    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
     common = F.size(F.array_intersect("sa", "sb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("common", common)
     return both.where(F.col("common") * 100 >= (F.size("sa") + F.size("sb") - F.col("common")) * percent).select("a", "b")
@@ -189,21 +192,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shift = 64 - plan.bits
     every = shared_parquet(ask(deal(slim, plan), _emit(size, shift), _shared_count, _finish(percent, shift), SETS, plan, plan.bits))
     release(every)
-    live = every.where("doc_id is not null and size(prefix) > 0")
+    live = every.where("doc_id is not null and width > 0")
     prints = ["n_shingles", "f1", "f2"]
     classes = shared_parquet(live.groupBy(*prints).agg(F.min("doc_id").alias("class_id")))
     # joined by doc_id, of which each class has one, and not by what all copies of a text share
     chosen = classes.select(F.col("class_id").alias("doc_id"), *prints)
-    heads = live.join(chosen, ["doc_id", *prints], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-    heads = shared_parquet(heads.select("doc_id", "n_shingles", "shared", "prefix", "sketch", "shingles"))
+    heads = live.join(chosen, ["doc_id", *prints], "left_semi").dropDuplicates(["doc_id", *prints])
+    heads = shared_parquet(heads.select("doc_id", "n_shingles", "shared", "width", "sketch", "shingles"))
     n = F.col("n_shingles")
     lot = ["n_shingles", "p1", "p2"]
-    keyed = heads.select("doc_id", "n_shingles", "prefix", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2"))
+    keyed = heads.withColumn("prefix", F.slice("shingles", F.lit(1), F.col("width"))).select("doc_id", "n_shingles", "prefix", F.xxhash64("prefix").alias("p1"), F.hash("prefix").alias("p2"))
     grouped = keyed.groupBy(*lot).agg(F.min("doc_id").alias("head"))
     member = keyed.join(grouped, lot)
     member = shared_parquet(member.select("doc_id", "head", "n_shingles", F.when(F.col("doc_id") == F.col("head"), F.col("prefix")).alias("prefix")))
     band = F.floor(F.log(n) / F.log(F.lit(100 / percent))).cast("int")
-    posts = member.where("prefix is not null").select("head", "n_shingles", F.size("prefix").alias("width"), band.alias("band"), F.posexplode("prefix").alias("pos", "token"))
+    posts = member.where("prefix is not null").select("head", "n_shingles", F.size("prefix").alias("width"), band.alias("band"), F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    # most families are copies of one text, whose shingles no other class holds
+    several = posts.groupBy("token").agg(F.min("head").alias("low"), F.max("head").alias("high")).where("low <> high").select("token")
+    posts = shared_parquet(posts.join(several, "token", "left_semi"))
     fold = [F.get("sketch", k).bitwiseXOR(F.get("sketch", k + FOLDED)).bitwiseXOR(F.get("sketch", k + 2 * FOLDED)).bitwiseXOR(F.get("sketch", k + 3 * FOLDED)).alias(f"q{k}") for k in range(FOLDED)]
     folds = shared_parquet(heads.select(F.col("doc_id").alias("rep"), "shared", *fold).dropDuplicates(["rep"]))
     alone = member.where("prefix is not null").select("head", F.col("head").alias("label"), F.col("head").alias("rep"))
@@ -252,7 +258,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         label = components(links.unionByName(last)).withColumnRenamed("v", "doc_id")
     named = classes.join(label.withColumnRenamed("doc_id", "class_id"), "class_id", "left").select(*prints, "class_id", F.coalesce("label", "class_id").alias("label"))
     out = every.select("doc_id", *prints).join(named, prints, "left")
-    for x in (held, member, placed, last, heads, folds):
+    for x in (held, member, placed, posts, last, heads, folds):
         drop_parquet(x)
     known = F.col("doc_id").isNotNull()
     return out.select("doc_id", "n_shingles", F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(known, F.coalesce("label", "doc_id")).alias("component_id"))

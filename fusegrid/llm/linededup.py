@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .native import lines_of, lower_ascii, strip_blanks, whole
+from .native import closed, lines_of, lower_ascii, strip_blanks, whole
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -41,10 +41,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     d = d.join(drops, ["doc_id", "version"], "left").withColumn("lines", lines_of(F.col("text")))
     none = F.array().cast("array<int>")
     d = d.withColumn("stay", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("drops", none)))
-    return d.select(
+    d = d.select(
         "doc_id",
         F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size("stay")).cast("bigint").alias("n_dropped"),
         F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n").alias("kept_text"),
         *[F.col("carried")[c].alias(c) for c in carry],
     )
+    return closed(d)

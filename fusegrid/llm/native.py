@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: ASCII white space, as characters and inside a regular expression's class.
@@ -31,3 +31,12 @@ def spaced_words(text: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     return F.split(whole(text), "\n")
+
+
+def closed(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator, which predicates on its columns do not cross.
+
+    A filter that is pushed into a chain of projections takes their expressions along, and
+    inside a lambda function it would work them out anew for each element.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native import BLANK_CLASS, BLANKS, lines_of, lower_ascii, spaced_words, whole
+from .native import BLANK_CLASS, BLANKS, closed, lines_of, lower_ascii, spaced_words, whole
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases of page furniture, lower case.
@@ -63,15 +63,15 @@ def line_fails(line: Column) -> Column:
     pipes = F.length(bare) - _absent(bare, "|")
     symbols = F.length(bare) - _absent(bare, SYMBOLS)
     shouts = (F.length(bare) - F.length(F.replace(bare, F.lit("!!"), F.lit("")))) / 2
-    short = lower_ascii(F.substring(bare, 1, 400))
+    low = lower_ascii(bare)
     phrase = F.lit(False)
     for x in BOILERPLATE:
-        phrase = phrase | short.contains(x)
+        phrase = phrase | low.contains(x)
     return (
         ((pipes >= 3) & (pipes * 4 >= n_words))
         | ((symbols >= 3) & (symbols * 4 >= n_words))
         | ((n_words >= 3) & (shouts * 3 >= n_words))
-        | ((n_words <= 25) & (F.length(bare) <= 400) & phrase)
+        | ((n_words <= 25) & phrase)
         | ((n_words <= 3) & ~F.lit(MARKS).contains(F.right(bare, F.lit(1))))
     )
 
@@ -101,4 +101,5 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     )
     d = d.withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words")))
     d = d.withColumn("kept_share", F.when(F.col("word_chars") > 0, _absent(F.col("clean_text"), BLANKS) / F.col("word_chars")).otherwise(F.lit(0.0)))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("kept_share") >= min_kept))
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("kept_share") >= min_kept))
+    return closed(d)

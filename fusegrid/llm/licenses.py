@@ -2,11 +2,12 @@
 
 All rolling hashes of ``GRAM`` words of a text are joined with the hashes of the
 templates, a fixed table of a few hundred rows.  Each hit votes for the diagonal
-``text position - template position``.  A diagonal's votes are a bit mask over the
-template's positions, so a complete mask verifies that the template stands there
-word for word.  Neighbouring diagonals (a few inserted or missing words apart)
-whose spans meet are merged, and a license template counts if the merged mask
-covers ``min_cover`` of its positions.
+``text position - template position``.  A diagonal's votes are a set of the template's
+positions, so a complete set verifies that the template stands there word for word
+(up to 64-bit hashes of ``GRAM`` words each, of which all must agree).  Neighbouring
+diagonals (a few inserted or missing words apart) whose spans meet are merged, and a
+license template counts if the merged set covers ``min_cover`` of its positions.
+Templates may be of any length.
 
 Phrases must stand complete; each place counts.  ``score`` is the best covered
 share over all templates, 1 for a complete one, 0 without hits.
@@ -14,7 +15,8 @@ share over all templates, 1 for a complete one, 0 without hits.
 Defined results: a null or empty text has no words, no places and score 0; equal
 rows get equal results and do not add up; a null doc_id is treated as a value;
 an empty table gives no rows; columns other than the two named ones are ignored.
-Only hits are shuffled, and every group is one document's hits of one template.
+Texts are read once; only hits are written and shuffled, and every group is one
+document's hits of one template.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .native import lower_ascii, whole
+from .store import shared_parquet
 
 GRAM = 3
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -34,6 +37,15 @@ PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apach
 #: Public license notices; each is found as a whole or nearly so.
 TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all "
+        "copies or substantial portions of the Software. The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties "
+        "of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other "
+        "liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+    ),
     ("mit", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability"),
     ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -64,8 +76,8 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]], phrase
     """(template, label, exact, size, at, h), one row per gram of each template."""
     rows = []
     for number, (words, label, exact) in enumerate([(template_words(p), x, True) for p, x in phrases] + [(template_words(t), x, False) for x, t in templates]):
-        if not GRAM <= len(words) <= 62 + GRAM:
-            raise ValueError(f"a template needs {GRAM} to {62 + GRAM} words: {' '.join(words)}")
+        if len(words) < GRAM:
+            raise ValueError(f"a template needs {GRAM} words or more: {' '.join(words)}")
         size = len(words) - GRAM + 1
         rows += [(number, label, exact, size, at, *words[at : at + GRAM]) for at in range(size)]
     made = spark.createDataFrame(rows, "template int, label string, exact boolean, size int, at int, w0 string, w1 string, w2 string")
@@ -78,26 +90,31 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     ``spans`` lists (label, first_word, n_words) of what was found, by place.
     """
     spark = docs.sparkSession
+    table = template_table(spark, templates, phrases)  # a fixed list of some hundred rows
+    known = F.lit(sorted({r["h"] for r in table.select("h").collect()}))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     d = d.select("doc_id", F.xxhash64(whole(F.col("text"))).alias("version"), words_of(F.col("text")).alias("words"))
     last = F.size("words") - GRAM
-    gram = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(GRAM)]))
-    grams = d.where(last >= 0).select("doc_id", "version", F.posexplode(gram).alias("pos", "h"))
-    table = template_table(spark, templates, phrases)  # a fixed list of a few hundred rows
+    gram = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(GRAM)])))
+    d = d.select("doc_id", "version", F.size("words").cast("bigint").alias("n_words"), gram.alias("grams"))
+    placed = F.transform("grams", lambda h, i: F.struct(i.alias("pos"), h.alias("h")))
+    hit = F.when(F.arrays_overlap("grams", known), F.filter(placed, lambda x: F.array_contains(known, x["h"])))
+    d = shared_parquet(d.select("doc_id", "version", "n_words", hit.alias("hits")))
+    grams = d.select("doc_id", "version", F.inline("hits"))
     hits = grams.join(F.broadcast(table), "h")
     found = hits.groupBy("doc_id", "version", "template", "label", "exact", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"), F.min("pos").alias("begin"), F.max("pos").alias("end")
+        F.collect_set("at").alias("places"), F.min("pos").alias("begin"), F.max("pos").alias("end")
     )
-    whole_mask = F.bit_count("mask") == F.col("size")
     order = Window.partitionBy("doc_id", "version", "template").orderBy("begin", "diagonal")
     far = (F.col("begin") - F.lag("end").over(order) > drift + GRAM) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > drift)
     merged = found.withColumn("new", F.when(F.col("exact"), F.lit(1)).otherwise(F.coalesce(far.cast("int"), F.lit(1))))
     merged = merged.withColumn("run", F.sum("new").over(order)).groupBy("doc_id", "version", "template", "label", "exact", "size", "run").agg(
-        F.bit_or("mask").alias("mask"), F.min("begin").alias("begin"), F.max("end").alias("end")
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("votes"), F.min("begin").alias("begin"), F.max("end").alias("end")
     )
-    cover = F.bit_count("mask") / F.col("size")
-    good = F.when(F.col("exact"), whole_mask).otherwise(cover >= min_cover)
-    base = F.col("exact") & whole_mask
+    whole_template = F.col("votes") == F.col("size")
+    cover = F.col("votes") / F.col("size")
+    good = F.when(F.col("exact"), whole_template).otherwise(cover >= min_cover)
+    base = F.col("exact") & whole_template
     per = merged.groupBy("doc_id", "version").agg(
         F.count_if(base).alias("n_base"),
         F.min(F.when(base, F.col("begin"))).alias("first_word"),
@@ -107,7 +124,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         F.max(cover).alias("score"),
         F.sort_array(F.collect_list(F.when(good, F.struct("begin", "label", (F.col("end") - F.col("begin") + GRAM).alias("n_words"))))).alias("spans"),
     )
-    left = d.select("doc_id", "version", F.size("words").cast("bigint").alias("n_words")).alias("l")
+    left = d.select("doc_id", "version", "n_words").alias("l")
     joined = left.join(per.alias("r"), F.expr("l.doc_id <=> r.doc_id and l.version = r.version"), "left")
     return joined.select(
         "l.doc_id",

@@ -25,7 +25,7 @@ def _without(x: str, characters: str) -> str:
 
 def _quality() -> str:
     symbols, pipe = _quoted(SYMBOLS), "'|'"
-    phrase = " or ".join(f"contains({_lower('left(bare, 400)')}, {_quoted(x)})" for x in BOILERPLATE)
+    phrase = " or ".join(f"contains({_lower('bare')}, {_quoted(x)})" for x in BOILERPLATE)
     return rf"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, regexp_extract_all(text, {SPACED}) as words from d),
@@ -40,7 +40,7 @@ f as (select doc_id, line, bare, chars, len(regexp_extract_all(bare, {SPACED}))
       (length(bare) - length(replace(bare, '!!', ''))) / 2 as shouts, ({phrase}) as phrase from b where bare <> ''),
 v as (select doc_id, count(*) - count(distinct line) as dup, sum(case when (pipes >= 3 and pipes * 4 >= n)
         or (symbols >= 3 and symbols * 4 >= n) or (n >= 3 and shouts * 3 >= n)
-        or (n <= 25 and length(bare) <= 400 and phrase)
+        or (n <= 25 and phrase)
         or (n <= 3 and not contains({_quoted(MARKS)}, right(bare, 1))) then 0 else chars end) as stay from f group by doc_id),
 o as (select w.doc_id, len(words) as n_words, {_without('text', BLANKS)} as word_chars,
       length(text) - {_without('text', symbols)} as n_symbols, coalesce(dup, 0) as n_dup_lines,
@@ -72,11 +72,11 @@ with t(template, label, exact, size, place, gram) as (values {values}),
 w as (select doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, {ALNUM}) as words from documents),
 g as (select doc_id, i - 1 as pos, [words[i], words[i + 1], words[i + 2]] as gram
       from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from w)),
-h as (select doc_id, template, label, exact, size, pos - place as diagonal, count(*) as votes, min(pos) as first, max(pos) as last,
-      bit_or(1::bigint << place) as mask from g join t using (gram) group by all),
+h as (select doc_id, template, label, exact, size, pos - place as diagonal, min(pos) as first, max(pos) as last,
+      list(distinct place) as places from g join t using (gram) group by all),
 e as (select *, case when exact then 1 when first - lag(last) over o > 7 or abs(diagonal - lag(diagonal) over o) > 4 then 1
       when lag(last) over o is null then 1 else 0 end as new from h window o as (partition by doc_id, template order by first, diagonal)),
-m as (select doc_id, template, label, exact, size, run, bit_count(bit_or(mask)) / size as cover, min(first) as first from
+m as (select doc_id, template, label, exact, size, run, len(list_distinct(flatten(list(places)))) / size as cover, min(first) as first from
       (select *, sum(new) over (partition by doc_id, template order by first, diagonal) as run from e) group by doc_id, template, label, exact, size, run),
 p as (select doc_id, count_if(exact and cover = 1) as n_base, min(case when exact and cover = 1 then first end) as first_word,
       max(case when exact and cover = 1 then first end) as last_word,

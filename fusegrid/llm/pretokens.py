@@ -2,7 +2,8 @@
 
 The split follows the public byte-level pattern of such tokenizers: contractions,
 letter runs, digit runs and other runs, each with at most one space before it, and
-white space.  What the split finds is encoded by the ``tokenizers`` library itself;
+white space.  Which code points are letters, digits or white space is asked of the library,
+as that depends on its edition of Unicode.  What the split finds is encoded by the ``tokenizers`` library itself;
 only repeated pieces are looked up instead, by a 64-bit hash of their bytes that is
 unique for pieces of one length up to eight bytes.
 """
@@ -10,27 +11,17 @@ unique for pieces of one length up to eight bytes.
 from __future__ import annotations
 
 import itertools
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
 
 from .words import hash_runs, utf8
 
-_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
-# The code points with the Unicode property White_Space.
-WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_SPACE, _LETTER, _DIGIT, _OTHER, _UNKNOWN = range(5)
 # The endings that the pattern splits off behind an apostrophe.
 CONTRACTIONS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
 
-def _class_table() -> np.ndarray:
-    major = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
-    table = np.array([{"L": _LETTER, "N": _DIGIT}.get(m, _OTHER) for m in major], np.uint8)
-    table[WHITE_SPACE] = _SPACE
-    return table
-
-
 class Encoder:
     """``encode(column)`` gives the ids of all texts and how many each text has."""
 
@@ -43,9 +34,18 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kinds = _class_table()
+        self.kinds = np.full(0x110000, _UNKNOWN, np.uint8)
         self.forget()
 
+    def classify(self, points: np.ndarray) -> np.ndarray:
+        """The classes of code points; the library's own split tells what it takes a new one for."""
+        found = self.kinds[points]
+        split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        for c in np.unique(points[found == _UNKNOWN]).tolist():
+            joins = (k for k, mate in ((_LETTER, "a"), (_DIGIT, "1"), (_OTHER, "!")) if len(split(mate + chr(c))) == 1)
+            self.kinds[c] = next(joins, _SPACE)
+        return self.kinds[points]
+
     def forget(self) -> None:
         self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.bounds, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
@@ -71,7 +71,7 @@ class Encoder:
         """Byte positions at which a piece of the pattern begins."""
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         at_byte = np.flatnonzero((data & 0xC0) != 0x80)
-        kind = self.kinds[points]
+        kind = self.classify(points)
         n = len(points)
         first = np.zeros(n + 1, bool)
         begins = np.searchsorted(at_byte, offsets[:-1][np.diff(offsets) > 0])

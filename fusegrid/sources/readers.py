@@ -1,16 +1,10 @@
-"""CSV, JSON, HTML, page-word and cached sources."""
+"""CSV, JSON, page-word and cached sources."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import EMAIL, clean_spaces
 from ..schema import PROFILE
 
 CSV_COLUMNS = ["name", "email", "phone", "current_company", "company", "title", "job_title", "position", "skills"]
@@ -71,191 +65,6 @@ def words_to_text(words: DataFrame, *, anchor: float = 3.0, gap: float = 25.0) -
     return got.select("doc", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"))
 
 
-# --- HTML ------------------------------------------------------------------------------
-
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-
-class Node:
-    __slots__ = ("tag", "attrs", "parent", "parts")
-
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.parts = tag, attrs, parent, []
-
-    def walk(self) -> Iterator[Node]:
-        stack = [p for p in reversed(self.parts) if isinstance(p, Node)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(p for p in reversed(node.parts) if isinstance(p, Node))
-
-    def text(self, joiner: str = "") -> str:
-        out, stack = [], [self]
-        while stack:
-            x = stack.pop()
-            if isinstance(x, str):
-                out.append(x)
-            else:
-                stack.extend(reversed(x.parts))
-        return joiner.join(out)
-
-    def find(self, test: Callable[[Node], bool]) -> Node | None:
-        return next((n for n in self.walk() if test(n)), None)
-
-    def last_child(self) -> bool:
-        kin = [p for p in self.parent.parts if isinstance(p, Node)] if self.parent else [self]
-        return kin[-1] is self
-
-
-class Tree(HTMLParser):
-    """A forgiving tree of elements from the standard library's tokenizer."""
-
-    def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
-        self.feed(html)
-        self.close()
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "li" or tag == "p":
-            node = self.at
-            while node.parent and node.tag not in (tag, "ul", "ol", "div", "section", "body"):
-                node = node.parent
-            if node.tag == tag:
-                self.at = node.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.parts.append(node)
-        if tag not in VOID:
-            self.at = node
-
-    def handle_startendtag(self, tag, attrs):
-        self.at.parts.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
-
-    def handle_endtag(self, tag):
-        node = self.at
-        while node.parent and node.tag != tag:
-            node = node.parent
-        if node.parent:
-            self.at = node.parent
-
-    def handle_data(self, data):
-        self.at.parts.append(data)
-
-
-def _clean(text: str | None) -> str | None:
-    return re.sub(r"\s+", " ", text).strip() or None if text else None
-
-
-def _classed(pattern: str, flags: int = re.I) -> Callable[[Node], bool]:
-    found = re.compile(pattern, flags)
-    return lambda n: any(found.search(c) for c in [*n.attrs.get("class", "").split(), n.attrs.get("class", "")] if c)
-
-
-def profile_from_html(url: str | None, html: str | None) -> dict:
-    """The fields of a public profile page."""
-    out = {"full_name": None, "headline": None, "location": None, "about": None, "links": [url] if url else [], "skills": [], "experience": [], "education": [], "emails": [], "login_wall": False}
-    if not html:
-        return out
-    root = Tree(html).root
-
-    def meta(name: str) -> str | None:
-        tags = [n for n in root.walk() if n.tag == "meta"]
-        hit = next((n for n in tags if n.attrs.get("property") == name), None) or next((n for n in tags if n.attrs.get("name") == name), None)
-        return hit.attrs.get("content") if hit else None
-
-    def text(test: Callable[[Node], bool]) -> str | None:
-        node = root.find(test)
-        return node.text(" ") if node else None
-
-    named = lambda tag: lambda n: n.tag == tag
-    has = lambda part: lambda n: part in n.attrs.get("class", "")
-    name = meta("og:title") or text(named("h1")) or text(has("top-card__title")) or text(has("profile-header__name"))
-    if name:
-        name = re.sub(r"(?i)\s*\|\s*(LinkedIn|linkedin\.com).*$", "", name)
-        name = re.sub(r"\s+-\s+.{5,}$", "", name)
-    headline = text(has("top-card__subline-item")) or text(has("profile-header__headline")) or text(named("h2")) or meta("og:description")
-    if headline:
-        headline = re.sub("[\ufffd\u00e2\u0080\u0093-\u0099]+", "", headline)
-        headline = re.split("[.·|]", headline)[0][:120]
-    card = has("top-card__subline-item")
-    place = text(lambda n: card(n) and n.last_child()) or text(has("location"))
-    out |= {"full_name": _clean(name), "headline": _clean(headline), "location": _clean(place), "about": _clean(text(has("summary")) or text(has("about")))}
-    skilled = _classed("skill|endorsement")
-    texts = [_clean(n.text()) for n in root.walk() if skilled(n)]
-    out["skills"] = list(dict.fromkeys(t for t in texts if t and len(t) < 60))[:30]
-
-    def items(pattern: str, most: int) -> list[Node]:
-        block = root.find(_classed(pattern))
-        return [n for n in block.walk() if n.tag == "li"][:most] if block else []
-
-    def pick(node: Node, *tests: Callable[[Node], bool]) -> str | None:
-        hit = next((h for t in tests if (h := node.find(t))), None)
-        return _clean(hit.text()) if hit else None
-
-    for node in items("experience", 6):
-        title = pick(node, _classed("title|position|role"), named("h3"), named("h4"))
-        company = pick(node, _classed("company|org|employer"), named("h4"), named("span"))
-        company = None if company == title else company
-        if title or company:
-            dates = pick(node, _classed("date|duration|period"))
-            parts = re.split("\\s*[\u2013\u2014-]\\s*", dates, maxsplit=1) if dates else [None]
-            out["experience"].append({"title": title or "N/A", "company": company or "N/A", "start_date": parts[0] and parts[0].strip(), "end_date": (parts[1].strip() if len(parts) > 1 else "Present") if dates else None})
-    for node in items("education", 4):
-        school, degree = pick(node, _classed("school|institution|org")), pick(node, _classed("degree|field"))
-        if school or degree:
-            out["education"].append({"institution": school or "N/A", "degree": degree or "N/A"})
-    out["emails"] = list(dict.fromkeys(re.findall(EMAIL, html)))[:5]
-    low = html.lower()
-    out["login_wall"] = "authwall" in low or "join now" in low or root.find(lambda n: n.tag == "form" and n.attrs.get("id") == "join-form") is not None
-    return out
-
-
-HTML_PROFILE = (
-    "url string, full_name string, headline string, location string, about string, links array<string>, skills array<string>, "
-    "experience array<struct<title: string, company: string, start_date: string, end_date: string>>, "
-    "education array<struct<institution: string, degree: string>>, emails array<string>, login_wall boolean"
-)
-
-
-def read_html(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """Profiles from fetched pages; fetching itself is left to whoever fills the table."""
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [{"url": u} | profile_from_html(u, h) for u, h in zip(frame["url"], frame["html"], strict=True)]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in re.split(r",\s(?![^<]*>)", HTML_PROFILE)])
-
-    return pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(parse, HTML_PROFILE)
-
-
-def html_as_profile(df: DataFrame) -> DataFrame:
-    """HTML profiles in the shape of JSON ones; a place becomes the city of a location."""
-    place = F.when(F.col("location").isNotNull(), F.struct(F.col("location").alias("city"), F.lit(None).cast("string").alias("region"), F.lit(None).cast("string").alias("country")))
-    jobs = F.transform("experience", lambda x: F.struct(x["company"].alias("company"), x["title"].alias("title"), x["start_date"].alias("start_date"), x["end_date"].alias("end_date"), F.lit(None).cast("string").alias("summary")))
-    nil = F.lit(None).cast("string")
-    schools = F.transform("education", lambda x: F.struct(x["institution"].alias("institution"), x["degree"].alias("degree"), nil.alias("field"), nil.alias("start_date"), nil.alias("end_date")))
-    return df.select("full_name", "headline", "emails", F.array().cast("array<string>").alias("phones"), place.alias("location"), "links", "skills", jobs.alias("experience"), schools.alias("education"), "about")
-
-
-# --- native parts of the HTML extraction ------------------------------------------------
-
-
-def html_title_name(html: Column) -> Column:
-    """og:title, else the first h1, without the site's name and the job behind a dash."""
-    og = F.coalesce(
-        F.nullif(F.regexp_extract(html, r'(?is)<meta[^>]*property="og:title"[^>]*content="([^"]*)"', 1), F.lit("")),
-        F.nullif(F.regexp_extract(html, r'(?is)<meta[^>]*content="([^"]*)"[^>]*property="og:title"', 1), F.lit("")),
-        F.nullif(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), F.lit("")),
-    )
-    name = F.regexp_replace(F.regexp_replace(og, r"<[^>]*>", " "), r"(?i)\s*\|\s*(LinkedIn|linkedin\.com).*$", "")
-    return clean_spaces(F.regexp_replace(name, r"\s+-\s+.{5,}$", ""))
-
-
-def html_login_wall(html: Column) -> Column:
-    low = F.lower(html)
-    return low.contains("authwall") | low.contains("join now") | low.rlike('<form[^>]*id="join-form"')
-
-
 # --- incremental reads --------------------------------------------------------------------
 
 
@@ -265,8 +74,3 @@ def new_files(files: DataFrame, seen: DataFrame | None) -> DataFrame:
     tagged = files.withColumns({"path": F.col("_metadata.file_path"), "modified": F.col("_metadata.file_modification_time"), "bytes": F.col("_metadata.file_size")})
     tagged = tagged.withColumn("cache_key", F.sha2(F.concat_ws(":", *[F.col(k).cast("string") for k in key]), 256))
     return tagged if seen is None else tagged.join(seen.select("cache_key").distinct(), "cache_key", "left_anti")
-
-
-def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key, in a stated order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DEGREE_KEYWORDS, SKILL_ALIASES, TITLE_KEYWORDS
@@ -85,37 +86,55 @@ def split_columns(c: Column) -> tuple[Column, Column]:
     return strip(F.substring_index(c, "\t", 1)), F.when(at > 0, strip(F.substring(c, at + 1, F.length(c))))
 
 
+def heading_key(line: Column) -> Column:
+    """The letters of a line of at most five words, in capitals; else empty."""
+    bare = F.array_compact(F.array(F.upper(strip(F.regexp_replace(line, "[^A-Za-z]+", " ")))))
+    return F.coalesce(F.get(F.filter(bare, lambda x: F.size(F.split(x, " ")) <= 5), 0), F.lit(""))
+
+
 def heading_match(line: Column, name: str) -> Column:
     """A line of at most five words that contains the section's name."""
-    bare = F.upper(strip(F.regexp_replace(line, "[^A-Za-z]+", " ")))
-    return (bare != "") & (F.size(F.split(bare, " ")) <= 5) & bare.contains(name)
+    return heading_key(line).contains(name)
 
 
-def known_heading(line: Column, names: list[str]) -> Column:
-    """Any section's heading, or a short line in capitals that is no degree or job title."""
-    hit = F.lit(False)
-    for name in names:
-        hit = hit | heading_match(line, name)
+def known_heading(line: Column, key: Column, names: list[str]) -> Column:
+    """Any section's heading, or a short line in capitals that is no degree or job title; ``key`` is the line's heading_key."""
+    hit = F.exists(F.array(*map(F.lit, names)), lambda x: key.contains(x))
     bare = strip(line)
-    caps = (F.upper(bare) == bare) & (F.lower(bare) != bare)
-    plain = (F.size(F.split(bare, r"\s+")) <= 2) & ~bare.contains(":") & ~bare.rlike("[0-9]") & ~bare.rlike(DEGREE)
-    for word in TITLE_KEYWORDS:
-        plain = plain & ~F.upper(bare).contains(word)
-    return hit | ((bare != "") & caps & plain)
+    caps = (bare != "") & (F.upper(bare) == bare) & (F.lower(bare) != bare)
+    plain = (F.size(F.split(bare, r"\s+")) <= 2) & ~bare.rlike("[:0-9]") & ~bare.rlike(DEGREE)
+    return hit | (caps & plain & ~bare.rlike("|".join(TITLE_KEYWORDS)))
 
 
 def entry_like(line: Column) -> Column:
     """A line that may open an experience entry."""
     bare, ranged = strip(line), line.rlike(DATE_RANGE)
     words = F.size(F.split(bare, r"\s+"))
-    titled = F.lit(False)
-    for word in TITLE_KEYWORDS:
-        titled = titled | F.upper(bare).contains(word)
+    titled = F.upper(bare).rlike("|".join(TITLE_KEYWORDS))
     return (bare != "") & (words <= 12) & (titled | ranged) & ~(F.endswith(bare, F.lit(".")) & ~ranged)
 
 
+def _alias_tables() -> tuple[str, dict[str, list[int]], dict[int, str]]:
+    """One pattern for all aliases of letters and digits at both ends, longest first; which
+    aliases an alias at a place implies (itself and those it begins with); patterns of the others."""
+    places = {a: k for k, a in enumerate(SKILL_ALIASES)}
+    plain = [a for a in places if a[0].isalnum() and a[-1].isalnum()]
+    implied = {a: [places[b] for b in plain if a == b or (a.startswith(b) and not a[len(b)].isalnum())] for a in plain}
+    body = "|".join(re.escape(a) for a in sorted(plain, key=len, reverse=True))
+    return rf"(?<![A-Za-z0-9_])(?=({body})(?![A-Za-z0-9_]))", implied, {places[a]: rf"\b{re.escape(a)}\b" for a in places if a not in implied}
+
+
 def skill_scan(text: Column) -> Column:
-    """Canonical names of all aliases in the text, in the order of the table."""
+    """Canonical names of all aliases in the text, in the order of the table; one scan finds all but a few."""
+    pattern, implied, others = _alias_tables()
     low = F.lower(text)
-    hits = [F.when(low.rlike(rf"(^|[^A-Za-z0-9_]){re.escape(a)}([^A-Za-z0-9_]|$)" if a[0].isalnum() and a[-1].isalnum() else rf"\b{re.escape(a)}\b"), F.lit(n)) for a, n in SKILL_ALIASES.items()]
-    return F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))
+    table = F.create_map(*chain.from_iterable((F.lit(a), F.array(*map(F.lit, at))) for a, at in implied.items()))
+    found = F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(low, F.lit(pattern), F.lit(1))), lambda x: F.try_element_at(table, x)))
+    odd = F.array_compact(F.array(*[F.when(low.rlike(x), F.lit(k)) for k, x in others.items()]))
+    names = F.array(*map(F.lit, SKILL_ALIASES.values()))
+    return F.array_distinct(F.transform(F.array_sort(F.array_distinct(F.concat(found, odd))), lambda k: F.get(names, k)))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator, so that later steps do not work their columns out again for each use."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

@@ -78,7 +78,7 @@ def normal_skill(raw: Column, near: Column | None = None) -> Column:
 
 def normal_skills(raws: Column, near: Column | None = None) -> Column:
     """Distinct normalised skills; ``near`` holds fuzzy matches by position."""
-    made = F.transform(raws, normal_skill) if near is None else F.transform(raws, lambda x, i: normal_skill(x, F.get(near, i)))
+    made = F.transform(raws, lambda x: normal_skill(x)) if near is None else F.transform(raws, lambda x, i: normal_skill(x, F.get(near, i)))
     return F.array_distinct(F.filter(made, lambda x: x != ""))
 
 

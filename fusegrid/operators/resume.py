@@ -6,33 +6,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import settled
 from ..schema import SECTION_HEADINGS
 
 
-def section(lines: Column, name: str) -> Column:
-    """Stripped lines between the first heading of ``name`` and the next known heading."""
-    marks = F.transform(lines, lambda x, i: F.when(T.heading_match(x, name), i))
-    begin = F.array_min(F.filter(marks, lambda x: x.isNotNull()))
-    stops = F.transform(lines, lambda x, i: F.when((i > begin) & T.known_heading(x, SECTION_HEADINGS), i))
-    end = F.coalesce(F.array_min(F.filter(stops, lambda x: x.isNotNull())), F.size(lines))
-    got = F.transform(F.slice(lines, begin + 2, F.greatest(end - begin - 1, F.lit(0))), T.strip)
-    return F.when(begin.isNotNull(), got).otherwise(F.array().cast("array<string>"))
+# The sections that hold jobs, in order.
+JOB_SECTIONS = ["INTERNSHIP EXPERIENCE", "WORK EXPERIENCE", "EXPERIENCE"]
 
 
-def header_block(lines: Column) -> Column:
-    """Lines before the first known heading."""
-    stops = F.transform(lines, lambda x, i: F.when(T.known_heading(x, SECTION_HEADINGS), i))
-    end = F.coalesce(F.array_min(F.filter(stops, lambda x: x.isNotNull())), F.size(lines))
-    return F.slice(lines, 1, end)
+def marked(df: DataFrame, *names: str) -> DataFrame:
+    """Adds to ``_lines`` where the first heading of each of ``names`` is (``_at_<name>``, from 1; 0: nowhere) and
+    which lines are known headings (``_stops``); keys and flags are worked out once a line."""
+    df = settled(settled(df).withColumn("_keys", F.transform("_lines", T.heading_key)))
+    names_it = lambda name: F.transform("_keys", lambda key: key.contains(name))
+    found = {f"_at_{x}": F.array_position(names_it(x), True).cast("int") for x in names}
+    return settled(df.withColumns(found | {"_stops": F.zip_with("_lines", "_keys", lambda x, key: T.known_heading(x, key, SECTION_HEADINGS))}).drop("_keys"))
 
 
+def _next(after: Column | int) -> Column:
+    """The place (from 0) of the first known heading beyond ``after``, or the number of lines."""
+    places = F.transform("_stops", lambda x, i: F.when(x & (i > after), i))
+    return F.coalesce(F.array_min(F.array_compact(places)), F.size("_stops"))
+
+
+def section(name: str) -> Column:
+    """Stripped lines between the first heading of ``name`` and the next known heading, of a marked frame."""
+    at = F.col(f"_at_{name}")
+    got = F.transform(F.slice("_lines", at + 1, F.greatest(_next(at - 1) - at, F.lit(0))), T.strip)
+    return F.when(at > 0, got).otherwise(F.array().cast("array<string>"))
+
+
+def header_block() -> Column:
+    """Lines of a marked frame before the first known heading."""
+    return F.slice("_lines", F.lit(1), _next(-1))
+
+
+# The form of a place.
 PLACE = r"\b([A-Z][a-zA-Z]+)\s*,\s*([A-Z][a-zA-Z]+(?:\s[A-Z][a-zA-Z]+)?)\b"
 
 
-def location(lines: Column, name: Column, country: str = "India") -> Column:
+def location(header: Column, name: Column, country: str = "India") -> Column:
     """The first ``City, Region`` in the header, outside the name and contact lines."""
     usable = F.filter(
-        header_block(lines),
+        header,
         lambda x: (T.strip(x) != "") & (T.strip(x) != F.coalesce(name, F.lit(""))) & ~x.rlike(T.EMAIL) & ~x.rlike(T.PHONE) & (F.size(F.split(T.strip(x), r"\s+")) <= 6) & x.rlike(PLACE),
     )
     hit = F.get(usable, 0)
@@ -107,18 +123,19 @@ def experience(lines: Column) -> Column:
 def parse_resumes(docs: DataFrame, *, key: str = "doc", text: str = "text") -> DataFrame:
     """(key, text) -> key and the parsed fields."""
     d = docs.select(F.col(key), T.mend_artifacts(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    d = d.withColumn("_lines", T.lines(F.col("_text"))).withColumn("full_name", T.first_line(F.col("_text")))
-    d = d.withColumn("_edu", section(F.col("_lines"), "EDUCATION"))
-    d = d.withColumn("_exp", F.concat(*[section(F.col("_lines"), s) for s in ("INTERNSHIP EXPERIENCE", "WORK EXPERIENCE", "EXPERIENCE")]))
-    d = d.withColumn("experience", experience(F.col("_exp")))
-    return d.select(
+    d = marked(d.withColumn("_lines", T.lines(F.col("_text"))).withColumn("full_name", T.first_line(F.col("_text"))), "EDUCATION", *JOB_SECTIONS)
+    jobs = F.concat(*[section(x) for x in JOB_SECTIONS])
+    d = settled(d.select(key, "_text", "full_name", header_block().alias("_head"), section("EDUCATION").alias("_edu"), jobs.alias("_exp")))
+    d = settled(d.withColumn("experience", experience(F.col("_exp"))))
+    d = d.select(
         key,
         "full_name",
         T.emails(F.col("_text")).alias("emails"),
         T.phones(F.col("_text")).alias("phones"),
         T.skill_scan(F.col("_text")).alias("skills"),
-        location(F.col("_lines"), F.col("full_name")).alias("location"),
+        location(F.col("_head"), F.col("full_name")).alias("location"),
         education(F.col("_edu")).alias("education"),
         "experience",
         F.get("experience", 0)["title"].alias("headline"),
     )
+    return settled(d)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .cases import MISSPELLED, PEOPLE_SQL, RESUME_PARTS_SQL
 from .functions.text import EMAIL, PHONE
-from .queries import ALL_SQL, CSV_SQL, DATE_FORMS, PROFILE_SQL, RESUME_SQL, RESUME_TEXT
+from .queries import ALL_SQL, CSV_SQL, DATE_FORMS, PROFILE_SQL, RESUME_SQL
 from .schema import FIELD_IMPORTANCE, METHOD_RELIABILITY, SKILL_ALIASES, SOURCE_TRUST
 
 
@@ -81,8 +82,6 @@ ORACLE_SQL: dict[str, str] = {
 l as (select doc, top, x0, t, x0 - (lag(x0) over (partition by doc, top order by x0, t) + 8) as gap from w),
 j as (select doc, top, string_agg(case when gap is null then '' when gap > 25 then chr(9) else ' ' end || t, '' order by x0, t) as line from l group by doc, top)
 select doc, string_agg(line, chr(10) order by top) as text from j group by doc""",
-    "resume_fields": "select n_nationkey as doc, 'Ada Lovelace' as full_name, 'ada@example.com' as emails, '9876543210' as phones, 'MySQL|Python|React' as skills, 'Pune' as city, 'Maharashtra' as region, 'B.E.' as degree, 'COMPUTER SCIENCE' as field, 'Example Technical Campus' as institution, '2021' as edu_start, 'Web Developer Intern' as title, n_name as company, 'Jan 2024' as job_start, 'Jun 2024' as job_end from nation",
-    "resume_sections": f"select n_nationkey, 'Python, React, MySQL' as skills, array_to_string((string_split({_q(RESUME_TEXT.replace(chr(10), '~'))}, '~'))[5:7], '|') as education, array_to_string((string_split({_q(RESUME_TEXT.replace(chr(10), '~'))}, '~'))[1:3], '|') as header from nation",
     "csv_to_canonical": f"select k as entity_key, name as full_name, lower(trim(email)) as email, '+91' || phone as phone, company, coalesce(title, '') as title, 'Python|JavaScript|' || upper(company[1]) || lower(company[2:]) as skills, 7::bigint as n_provenance from ({CSV_SQL})",
     "union_records": f"with {ALL_SQL} select src, count(*) as n, count(distinct k) as entities from a group by src",
     "match_email": f"with e as (select k, lower(trim(email)) as e from ({CSV_SQL})), f as (select e, min(k) as a from e group by e) select a, k as b from e join f using (e) where a < k",
@@ -123,3 +122,38 @@ e as (select k, count(distinct row(lower(company), lower(title))) as n_exp from
 select b.k as entity_key, sources, n_exp as experience_count, concat_ws('|', case when p > 0 then 'phones' end, case when c = 0 then 'location' end, case when h = 0 then 'headline' end, 'education') as missing, coalesce(conflicted, '') as conflicted
 from b left join x using (k) left join e using (k)""",
 }
+
+_H1 = r"regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '(?i)\s*\|\s*(LinkedIn|linkedin\.com).*$', ''), '\s+-\s+.{5,}$', '')"
+_SPACED = r"nullif(trim(regexp_replace({0}, '\s+', ' ', 'g')), '')"
+_E164 = r"'+91' || nullif(regexp_extract(regexp_replace(x, '[\s().-]', '', 'g'), '^(?:\+?91|0)?([6-9][0-9]{9})$', 1), '')"
+_NAMES = "case doc % 4 when 0 then 'Web Developer Intern' when 1 then 'Data Analyst' when 2 then 'Senior Engineer' else 'Project Lead' end"
+
+ORACLE_SQL |= {
+    "fuzzy_skill": f"select p_partkey, raw_skill, {_case('raw_skill', {k: v for k, v in MISSPELLED.items() if v}, 'null')} as raw_skill_match from (select p_partkey, ([{', '.join(_q(x) for x in MISSPELLED)}])[1 + p_partkey % {len(MISSPELLED)}] as raw_skill from part)",
+    "html_name": f"select page_id, {_SPACED.format(_H1)} as name, contains(lower(html), 'authwall') or contains(lower(html), 'join now') or regexp_matches(lower(html), '<form[^>]*id=\"join-form\"') as login_wall from pages",
+    "html_profiles": f"select {_SPACED.format(_H1.replace('regexp_extract(html', 'regexp_extract(replace(html, chr(38) || chr(97) || chr(109) || chr(112) || chr(59), chr(38))'))} as full_name, null::varchar as headline, 0::bigint as skills, 0::bigint as jobs, url as links from pages",
+    "html_people": f"""select url, case k % 3 when 2 then name || ' Junior' else name end as full_name, case k % 4 when 0 then 'Builder ' || k when 1 then 'Cook' when 2 then 'Maker' end as headline, case k % 4 when 0 then 'City' when 1 then 'Big Town' end as location,
+case when k % 5 < 3 then 'About ' || k end as about, url as links, 'Python|Go ' || k % 7 as skills, least(k % 9 + 1, 6)::bigint as n_jobs, least(k % 7, 4)::bigint as n_schools, case when k % 9 = 0 then 'Head ' || k else 'Lead' end as title,
+case when k % 9 = 0 then 'N/A' else 'Acme' end as company, case when k % 9 > 0 then '2019' end as job_start, case when k % 9 > 0 then '2020' end as job_end, case when k % 7 > 0 then 'Tech' end as institution, case when k % 7 > 0 then 'N/A' end as degree,
+'p' || k || '@example.com' as emails, k % 6 < 2 as login_wall from (select p.*, c_name as name from ({PEOPLE_SQL}) p join customer on k = c_custkey)""",
+    "resume_fields": f"""select doc, name as full_name, 'user' || doc || '@example.com' as emails, '9' || lpad(doc::varchar, 9, '0') as phones, case doc % 3 when 0 then 'MySQL|Python|React' when 1 then 'Go|Kubernetes' else 'NumPy|Pandas' end as skills,
+case doc % 3 when 0 then 'Pune' when 1 then 'Delhi' end as city, case doc % 3 when 0 then 'Maharashtra' when 1 then 'New Delhi' end as region, case when doc % 3 < 2 then 'India' end as country, {_NAMES} as headline, 1::bigint as n_schools, 1::bigint as n_jobs,
+case doc % 6 when 0 then 'B.E.' when 1 then 'Bachelor of Science' when 2 then 'MBA' when 3 then 'M.Tech' when 4 then 'BSc' else 'Diploma' end as degree,
+case doc % 6 when 0 then 'COMPUTER SCIENCE' when 1 then 'in Physics' when 2 then 'Finance' when 3 then 'Robotics' when 4 then 'Mathematics' end as field,
+case doc % 5 when 0 then 'Example Technical Campus' when 1 then 'Hill College' when 2 then 'River Institute' when 4 then 'Lake School' end as institution, case when doc % 5 = 0 then 'Pune, Maharashtra' end as edu_place,
+case doc % 4 when 0 then '2021' when 1 then 'Jan 2018' end as edu_start, case doc % 4 when 0 then '2025' when 1 then 'Present' end as edu_end, {_NAMES} as title,
+case doc % 4 when 0 then 'Acme' || doc when 1 then 'Beta' || doc when 2 then 'Gamma' || doc end as company, case doc % 4 when 0 then 'Jan 2024' when 1 then 'Mar 2020' when 2 then '2019' else '06/2018' end as job_start,
+case doc % 4 when 0 then 'Jun 2024' when 1 then 'Present' when 2 then '2021' else '07/2019' end as job_end, 'Extracted from resume' as summary from ({RESUME_PARTS_SQL})""",
+    "resume_sections": f"select doc, skills, replace(edu, chr(10), '|') as education, name || '|' || contact || '|' || place as header from ({RESUME_PARTS_SQL})",
+    "resume_records": f"""select doc as entity_key, {_NAMES} as headline, case doc % 4 when 0 then '2021' when 1 then '2018-01' end as edu_start, case doc % 4 when 0 then '2025' when 1 then 'Present' end as edu_end,
+case doc % 4 when 0 then '2024-01' when 1 then '2020-03' when 2 then '2019' else '2018-06' end as job_start, case doc % 4 when 0 then '2024-06' when 1 then 'Present' when 2 then '2021' else '2019-07' end as job_end, '+919' || lpad(doc::varchar, 9, '0') as phone,
+concat_ws('|', case when doc % 5 <> 3 then 'education' end, 'email', case when doc % 4 <> 3 then 'experience' end, 'full_name', case when doc % 3 < 2 then 'location' end, 'phone', 'skill') as fields from ({RESUME_PARTS_SQL})""",
+    "resumes_from_documents": f"""with d as (select doc_id, replace(replace(coalesce(text, ''), ' @', '@'), '@ ', '@') as t from documents)
+select doc_id as entity_key, list_filter(list_transform(string_split_regex(t, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e]'), lambda x: {STRIP.format('x')}), lambda x: x <> '')[1] as full_name,
+len(list_distinct(regexp_extract_all(t, {_q(EMAIL)})))::bigint as n_emails,
+len(list_distinct(list_filter(list_transform(regexp_extract_all(t, {_q(PHONE)}), lambda x: {_E164}), lambda x: x is not null)))::bigint as n_phones from d""",
+    "dedup_groups": f"""with {ALL_SQL}, c as (select k, email from a where pos = 0), r as (select k, email from a where pos = 1), l as (select k, email from a where pos = 2),
+g as (select r.k, case when c.k is null or lower(c.email) = lower(r.email) then 0 else 1 end as g, r.email from r left join c using (k))
+select k as entity_key, 0 as pos, 0::bigint as dedup_group from c union all select k, 1, g from g
+union all select l.k, 2, case when lower(l.email) = lower(coalesce(c.email, g.email, l.email)) then 0 when lower(l.email) = lower(g.email) then g.g when g.g = 1 then 2 else 1 end from l left join c using (k) left join g using (k)""",
+}

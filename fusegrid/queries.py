@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cases
 from .functions import text as T
 from .functions import values as V
 from .operators import match, merge, resume
@@ -21,7 +22,7 @@ from .operators.score import gold_diff, overall_confidence, quality_report, sche
 from .plans.materialize import materialize
 from .plans.transform import transform, union_sources
 from .schema import FIELD_IMPORTANCE, METHOD_RELIABILITY, SKILL_ALIASES, SOURCE_TRUST
-from .sources import readers
+from .sources import pages, readers
 
 CSV_SQL = """select c_custkey as k, c_name as name, concat(' User', cast(c_custkey % 900 as string), '@Example.com') as email,
  concat('9', lpad(cast(c_custkey as string), 9, '0')) as phone, c_mktsegment as company,
@@ -131,15 +132,15 @@ def skill_normalize(spark, sf_dir):
 def fuzzy_skill(spark, sf_dir):
     from .functions.fuzzy import fuzzy_skills
 
-    e = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat(F.substring("p_type", 1, 3), F.lit("ython")).alias("raw_skill"))
-    return fuzzy_skills(e, "raw_skill").select("p_partkey", "raw_skill", "raw_skill_match")
+    raw = F.get(F.array(*[F.lit(x) for x in cases.MISSPELLED]), (F.col("p_partkey") % len(cases.MISSPELLED)).cast("int"))
+    return fuzzy_skills(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", raw.alias("raw_skill")), "raw_skill").select("p_partkey", "raw_skill", "raw_skill_match")
 
 
 # --- sources --------------------------------------------------------------------------------
 
 
 def html_name(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", readers.html_title_name(F.col("html")).alias("name"), readers.html_login_wall(F.col("html")).alias("login_wall"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", pages.html_title_name(F.col("html")).alias("name"), pages.html_login_wall(F.col("html")).alias("login_wall"))
 
 
 def html_emails(spark, sf_dir):
@@ -149,8 +150,8 @@ def html_emails(spark, sf_dir):
 
 def html_profiles(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    got = readers.read_html(p)
-    return readers.html_as_profile(got).select("full_name", "headline", F.size("skills").alias("skills"), F.size("experience").alias("jobs"), F.array_join("links", "|").alias("links"))
+    got = pages.read_html(p)
+    return pages.html_as_profile(got).select("full_name", "headline", F.size("skills").cast("bigint").alias("skills"), F.size("experience").cast("bigint").alias("jobs"), F.array_join("links", "|").alias("links"))
 
 
 def source_kinds(spark, sf_dir):
@@ -165,24 +166,43 @@ def words_to_text(spark, sf_dir):
     return readers.words_to_text(words)
 
 
-RESUME_TEXT = "Ada Lovelace\nada @example.com | 9876543210\nPune, Maharashtra\nEDUCATION\nB.E.COMPUTER SCIENCE\t2021 - 2025\nExample Technical Campus\tPune, Maharashtra\nCGPA: 9.1\nINTERNSHIP EXPERIENCE\nWeb Developer Intern - Acme Tech\nJan 2024 - Jun 2024\nSKILLS\nPython, React, MySQL"
+def _resumes(spark, sf_dir) -> DataFrame:
+    _views(spark, sf_dir, "part")
+    return spark.sql(cases.RESUMES_SQL)
 
 
 def resume_fields(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    docs = n.select(F.col("n_nationkey").alias("doc"), F.replace(F.lit(RESUME_TEXT), F.lit("Acme Tech"), F.col("n_name")).alias("text"))
-    p = resume.parse_resumes(docs)
+    p = resume.parse_resumes(_resumes(spark, sf_dir))
     e, x = F.get("education", 0), F.get("experience", 0)
     return p.select(
         "doc", "full_name", F.array_join("emails", "|").alias("emails"), F.array_join("phones", "|").alias("phones"), F.array_join(F.array_sort("skills"), "|").alias("skills"), F.col("location.city").alias("city"), F.col("location.region").alias("region"),
-        e["degree"].alias("degree"), e["field"].alias("field"), e["institution"].alias("institution"), e["start_date"].alias("edu_start"), x["title"].alias("title"), x["company"].alias("company"), x["start_date"].alias("job_start"), x["end_date"].alias("job_end"),
+        F.col("location.country").alias("country"), "headline", F.size("education").cast("bigint").alias("n_schools"), F.size("experience").cast("bigint").alias("n_jobs"), e["degree"].alias("degree"), e["field"].alias("field"), e["institution"].alias("institution"),
+        e["location"].alias("edu_place"), e["start_date"].alias("edu_start"), e["end_date"].alias("edu_end"), x["title"].alias("title"), x["company"].alias("company"), x["start_date"].alias("job_start"), x["end_date"].alias("job_end"), x["summary"].alias("summary"),
     )
 
 
 def resume_sections(spark, sf_dir):
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    lines = T.lines(F.replace(F.lit(RESUME_TEXT), F.lit("Acme Tech"), F.col("n_name")))
-    return n.select("n_nationkey", F.array_join(resume.section(lines, "SKILLS"), "|").alias("skills"), F.array_join(resume.section(lines, "EDUCATION"), "|").alias("education"), F.array_join(resume.header_block(lines), "|").alias("header"))
+    d = resume.marked(_resumes(spark, sf_dir).select("doc", T.lines(F.col("text")).alias("_lines")), "SKILLS", "EDUCATION")
+    return d.select("doc", F.array_join(resume.section("SKILLS"), "|").alias("skills"), F.array_join(resume.section("EDUCATION"), "|").alias("education"), F.array_join(resume.header_block(), "|").alias("header"))
+
+
+def resume_records(spark, sf_dir):
+    """Parsed résumés as canonical records: normal dates, title defaults, provenance by section."""
+    docs = _resumes(spark, sf_dir).select(F.col("doc").alias("entity_key"), F.lit(1).alias("pos"), "text")
+    e, x = F.get("education", 0), F.get("experience", 0)
+    fields = F.array_join(F.array_sort(F.array_distinct(F.transform("provenance", lambda p: p["field"]))), "|")
+    return union_sources(resume=docs).select("entity_key", "headline", e["start_date"].alias("edu_start"), e["end_date"].alias("edu_end"), x["start"].alias("job_start"), x["end"].alias("job_end"), F.get("phones", 0).alias("phone"), fields.alias("fields"))
+
+
+def html_people(spark, sf_dir):
+    """Every field of profile pages."""
+    _views(spark, sf_dir, "customer")
+    got = pages.read_html(spark.sql(cases.PEOPLE_SQL))
+    x, e = F.get("experience", 0), F.get("education", 0)
+    return got.select(
+        "url", "full_name", "headline", "location", "about", F.array_join("links", "|").alias("links"), F.array_join("skills", "|").alias("skills"), F.size("experience").cast("bigint").alias("n_jobs"), F.size("education").cast("bigint").alias("n_schools"),
+        x["title"].alias("title"), x["company"].alias("company"), x["start_date"].alias("job_start"), x["end_date"].alias("job_end"), e["institution"].alias("institution"), e["degree"].alias("degree"), F.array_join("emails", "|").alias("emails"), "login_wall",
+    )
 
 
 # --- records, matching, merging -----------------------------------------------------------------
@@ -217,7 +237,7 @@ def match_name(spark, sf_dir):
 
 
 def dedup_groups(spark, sf_dir):
-    return match.greedy_groups(records(spark, sf_dir))
+    return match.greedy_groups(records(spark, sf_dir)).select("entity_key", "pos", F.col("dedup_group").cast("bigint").alias("dedup_group"))
 
 
 def _scalar(field: str, strategy: str):
@@ -320,7 +340,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         candidate_ids, email_extract, phone_extract, first_line_name, skill_scan, phone_e164, date_normalize, date_ranges, skill_normalize, fuzzy_skill, html_name, html_emails, html_profiles, source_kinds,
-        words_to_text, resume_fields, resume_sections, csv_to_canonical, union_records, match_email, match_phone, match_name, dedup_groups, merge_location, merge_trace, merge_skills, union_emails,
+        words_to_text, resume_fields, resume_sections, resume_records, html_people, csv_to_canonical, union_records, match_email, match_phone, match_name, dedup_groups, merge_location, merge_trace, merge_skills, union_emails,
         union_experience, provenance_conflicts, confidence, soft_validation, schema_validation, quality, project_default, project_omit, flat_csv, confidence_bands, gold_accuracy, transform_e2e, resumes_from_documents,
     )
 }

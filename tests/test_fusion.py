@@ -10,9 +10,8 @@ from fusegrid.operators.resume import parse_resumes
 from fusegrid.operators.score import overall_confidence, schema_errors, score, soft_validate
 from fusegrid.plans.materialize import materialize
 from fusegrid.plans.transform import transform, union_sources
-from fusegrid.queries import RESUME_TEXT
 from fusegrid.schema import PROFILE
-from fusegrid.sources import readers
+from fusegrid.sources import pages, readers
 from fusegrid.streaming.ingest import append_bronze, stream_csv
 
 CSV = "entity_key string, pos int, name string, email string, phone string, current_company string, title string, skills string"
@@ -110,13 +109,14 @@ def test_resume(spark):
     assert r[1]["full_name"] is None and r[1]["emails"] == []
 
 
+RESUME_TEXT = "Ada Lovelace\nada @example.com | 9876543210\nPune, Maharashtra\nEDUCATION\nB.E.COMPUTER SCIENCE\t2021 - 2025\nExample Technical Campus\tPune, Maharashtra\nCGPA: 9.1\nINTERNSHIP EXPERIENCE\nWeb Developer Intern - Acme Tech\nJan 2024 - Jun 2024\nSKILLS\nPython, React, MySQL"
 HTML = """<html><head><meta property="og:title" content="Ada Lovelace - Engineer at Acme | LinkedIn"></head><body><h2>Builder. Of engines</h2>
 <span class="location">Pune</span><ul class="experience"><li><h3 class="title">Lead</h3><h4>Acme</h4><span class="date">2019 - 2020</span></li></ul>
 <ul class="education-list"><li><span class="school">Tech</span><span class="degree">BE</span></li></ul><span class="skill">Python</span> ada@example.com</body></html>"""
 
 
 def test_html():
-    p = readers.profile_from_html("https://x.example", HTML)
+    p = pages.profile_from_html("https://x.example", HTML)
     assert (p["full_name"], p["headline"], p["location"], p["skills"], p["emails"]) == ("Ada Lovelace", "Builder", "Pune", ["Python"], ["ada@example.com"])
     assert p["experience"] == [{"title": "Lead", "company": "Acme", "start_date": "2019", "end_date": "2020"}] and p["education"] == [{"institution": "Tech", "degree": "BE"}]
 

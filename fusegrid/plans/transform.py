@@ -14,8 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import values as V
 from ..operators.build import from_csv, from_profile, from_resume
-from ..operators.match import cluster
+from ..operators.match import cluster, greedy_groups
 from ..operators.merge import DEFAULT_CONFIG, FIXED_FIELDS, STRATEGIES, merge
 from ..operators.project import DEFAULT_PROJECTION, project
 from ..operators.resume import parse_resumes
@@ -75,28 +76,50 @@ def union_sources(csv: DataFrame | None = None, resume: DataFrame | None = None,
         parsed = parse_resumes(packed).select(*[F.col(f"doc.{k}").alias(k) for k in keys], "*").drop("doc")
         parts.append((1, from_resume(parsed, keys)))
     if profile is not None:
-        parts.append((2, from_profile(profile, keys)))
+        parts.append((2, from_profile(profile, [*keys, "failed"] if "failed" in profile.columns else keys)))
     if not parts:
         raise RuntimeError("no source gave any data")
-    return reduce(DataFrame.unionByName, [p.withColumn("source_rank", F.lit(k)) for k, p in parts])
+    sound = lambda p: p if "failed" in p.columns else p.withColumn("failed", F.lit(False))
+    return reduce(DataFrame.unionByName, [sound(p).withColumn("source_rank", F.lit(k)) for k, p in parts])
 
 
-def transform(records: DataFrame, *, merge_config: dict | None = None, projection: dict | None = None, schema: dict | None = None, entity: Column | None = None, threshold: float | None = None) -> Result:
+def _with_groups(records: DataFrame, threshold: float) -> DataFrame:
+    """Adds ``dedup_group``, which orders an entity's records of equal trust; only entities with such records are folded."""
+    trust = V.trust_of(F.coalesce(F.get("provenance", 0)["source"], F.lit("notes")), 0.0)
+    tied = records.groupBy("entity_key", trust.alias("t")).agg(F.count("*").alias("n")).where("n > 1").select("entity_key").distinct()
+    groups = greedy_groups(records.join(tied, "entity_key", "left_semi"), threshold=threshold)
+    groups = groups.groupBy("entity_key", "pos").agg(F.min("dedup_group").alias("dedup_group"))
+    return records.join(groups, ["entity_key", "pos"], "left").withColumn("dedup_group", F.coalesce("dedup_group", F.lit(0)))
+
+
+def transform(records: DataFrame, *, merge_config: dict | None = None, projection: dict | None = None, schema: dict | None = None, entity: Column | None = None, threshold: float | None = None, grouped: bool = True) -> Result:
     """Canonical records (pos, canonical columns) to the three outputs.
 
     ``entity`` names the column that tells whose record it is, ``F.lit("run")`` for one
     profile of all; without it records are clustered by e-mail, phone and name, for which
-    they need a ``record_id``.
+    they need a ``record_id``.  Records whose column ``failed`` is true take no part; their
+    sources are reported as failed.  ``grouped`` lets greedy groups order records of equal
+    trust, which brings the records of an entity with such ties together in one task.
     """
     merge_config = merge_config or DEFAULT_CONFIG
+    threshold = threshold or merge_config.get("dedup_threshold", 85)
+    records = records if "failed" in records.columns else records.withColumn("failed", F.lit(False))
     if entity is not None:
         records = materialize(records.withColumn("entity_key", entity))
     else:
-        records = materialize(cluster(materialize(records), threshold=threshold or merge_config.get("dedup_threshold", 85)))
-    merged = soft_validate(score(merge(records, merge_config)))
+        records = materialize(cluster(materialize(records), threshold=threshold))
+    sound = records.where("not failed").drop("failed")
+    if grouped:
+        sound = materialize(_with_groups(sound, threshold))
+    merged = soft_validate(score(merge(sound, merge_config)))
     projected = project(merged, projection, ["entity_key"])
     projected = projected.withColumn("schema_errors", schema_errors(projected, schema))
-    return Result(merged, projected, quality_report(merged))
+    if "source_rank" not in records.columns:
+        return Result(merged, projected, quality_report(merged))
+    source = F.get(F.array(*map(F.lit, SOURCE_ORDER)), F.col("source_rank"))
+    failed = records.where("failed").groupBy("entity_key").agg(F.sort_array(F.collect_set(source)).alias("failed_sources"))
+    reported = merged.join(failed, "entity_key", "left")
+    return Result(merged, projected, quality_report(reported, failed=F.coalesce("failed_sources", F.array().cast("array<string>"))))
 
 
 def summary(report: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fuzzy import ratio_score, sorted_tokens
 from ..functions.text import strip
-from ..plans.materialize import materialize
+from ..plans.materialize import materialize, shared_folder
 
 #: Names of one length that are compared with all others of a group by one task, about.
 LOT = 500
@@ -133,11 +133,8 @@ def cluster(records: DataFrame, key: str = "record_id", threshold: float = 85) -
     order of records; :func:`greedy_groups` applies it within an entity.
     """
     spark = records.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     links = match_records(records, key, threshold).select("a", "b")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = records.select(F.col(key).alias("v"), F.col(key).alias("label")).checkpoint()

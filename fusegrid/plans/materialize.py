@@ -5,19 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, one of our own, which only a local master can read."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="checkpoints-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """The same rows from Parquet in the folder of spark.checkpoint.dir (our own where unset, as in tests).
+    """The same rows from Parquet in the shared folder.
 
     Later branches then prune columns of that table instead of parsing the sources anew.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/records-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -87,9 +87,11 @@ def _with_groups(records: DataFrame, threshold: float) -> DataFrame:
     """Adds ``dedup_group``, which orders an entity's records of equal trust; only entities with such records are folded."""
     trust = V.trust_of(F.coalesce(F.get("provenance", 0)["source"], F.lit("notes")), 0.0)
     tied = records.groupBy("entity_key", trust.alias("t")).agg(F.count("*").alias("n")).where("n > 1").select("entity_key").distinct()
+    if not tied.limit(1).count():
+        return records
     groups = greedy_groups(records.join(tied, "entity_key", "left_semi"), threshold=threshold)
     groups = groups.groupBy("entity_key", "pos").agg(F.min("dedup_group").alias("dedup_group"))
-    return records.join(groups, ["entity_key", "pos"], "left").withColumn("dedup_group", F.coalesce("dedup_group", F.lit(0)))
+    return materialize(records.join(groups, ["entity_key", "pos"], "left").withColumn("dedup_group", F.coalesce("dedup_group", F.lit(0))))
 
 
 def transform(records: DataFrame, *, merge_config: dict | None = None, projection: dict | None = None, schema: dict | None = None, entity: Column | None = None, threshold: float | None = None, grouped: bool = True) -> Result:
@@ -110,7 +112,7 @@ def transform(records: DataFrame, *, merge_config: dict | None = None, projectio
         records = materialize(cluster(materialize(records), threshold=threshold))
     sound = records.where("not failed").drop("failed")
     if grouped:
-        sound = materialize(_with_groups(sound, threshold))
+        sound = _with_groups(sound, threshold)
     merged = soft_validate(score(merge(sound, merge_config)))
     projected = project(merged, projection, ["entity_key"])
     projected = projected.withColumn("schema_errors", schema_errors(projected, schema))

@@ -16,12 +16,14 @@ overlap a plain span.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned one
 by one; an empty table gives no rows; a null doc_id stays null; columns other than
-the two named ones are ignored.  Rows are independent: nothing is shuffled.
+the two named ones are ignored.  Rows are independent: nothing is shuffled, and plain
+identifiers are found in time linear in the text.
 """
 
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -30,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ["email", "ip", "card", "phone"]
-# The base patterns of the task.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The base patterns of the task. E-mails are looked for at each @, which takes
+# the same matches in linear time; no number part of an address starts or stops among digits.
+NAME = frozenset(string.ascii_letters + string.digits + "._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -81,11 +85,25 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of e-mails: the characters before an @ that may stand in a name, back to the last match, and a domain."""
+    at = done = 0
+    while (at := text.find("@", at)) >= 0:
+        begin = at
+        while begin > done and text[begin - 1] in NAME:
+            begin -= 1
+        domain = DOMAIN.match(text, at + 1) if begin < at else None
+        if domain:
+            done = domain.end()
+            yield begin, done
+        at = max(at + 1, done)
+
+
 def detect(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind and start; failing matches are dropped, not retried."""
     found = []
     if "@" in text:
-        found += [(0, *m.span()) for m in EMAIL.finditer(text)]
+        found += [(0, *span) for span in emails(text)]
     if "." in text:
         found += [(1, *m.span()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split("."))]
     for m in CARD.finditer(text):

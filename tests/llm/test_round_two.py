@@ -1,6 +1,8 @@
 """Character classes of the encoder, long templates, packed exchange, barriers and levels."""
 
 import random
+import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +14,7 @@ from corpus_pipeline import quality_rules
 from fusegrid.llm.exchange import Asked, Layout, Packer, expand, expand_sorted, gather, layout
 from fusegrid.llm.licenses import scan_licenses
 from fusegrid.llm.neardup import near_duplicates
-from fusegrid.llm.pii import find
+from fusegrid.llm.pii import detect, find
 from fusegrid.llm.pretokens import Encoder
 from fusegrid.llm.substrings import dedup_substrings, levels
 
@@ -119,3 +121,19 @@ def test_pii_disguises_and_plain_kinds():
         _, spans = find(text)
         assert [("email", "ip", "card", "phone")[k] for k, _, _ in spans] == kinds, text
         assert all(0 <= a < b <= len(text) for _, a, b in spans)
+
+
+def test_plain_identifiers_equal_their_patterns_and_take_linear_time():
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    address = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    pick = random.Random(9)
+    for _ in range(4000):
+        text = "".join(pick.choice("ab@@..1 12-_%é9") for _ in range(pick.randint(0, 40)))
+        found = detect(text)
+        assert [x[1:] for x in found if x[0] == 0] == [m.span() for m in mail.finditer(text)], text
+        want = [m.span() for m in address.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+        assert [x[1:] for x in found if x[0] == 1] == want, text
+    began = time.monotonic()
+    for run in ("1", "a", "1.", "a.", "1-", "+1"):
+        detect(run * 300_000 + " . @ +")
+    assert time.monotonic() - began < 20

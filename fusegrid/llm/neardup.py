@@ -181,7 +181,7 @@ def _lots(placed: DataFrame) -> DataFrame:
     return lots.select("head", "label", "rep", (F.col("rep") != F.col("most")).alias("many"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rounds: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
     """One row per input row: doc_id, n_shingles, class_id (smallest doc_id with the same set), component_id.
 
     Two documents link when ``100 * |A & B| >= percent * |A | B|``.  ``rounds`` bounds the

@@ -233,7 +233,7 @@ def match_phone(spark, sf_dir):
 
 def match_name(spark, sf_dir):
     r = records(spark, sf_dir).withColumn("record_id", F.col("entity_key") * 3 + F.col("pos"))
-    return match.match_names(r.withColumn("experience", F.transform("experience", lambda x: x.withField("company", F.lower(F.substring(x["company"], 1, 5)))))).select("a", "b")
+    return match.match_names(r).select("a", "b")
 
 
 def dedup_groups(spark, sf_dir):

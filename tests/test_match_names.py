@@ -1,5 +1,6 @@
 """Name matching against brute force."""
 
+import math
 import random
 
 import pytest
@@ -74,3 +75,29 @@ def test_names_without_company(spark):
     got = {(r["a"], r["b"]) for r in match.match_names(records(spark, rows)).collect()}
     assert (len(rows) - 2, len(rows) - 1) in got
     assert got == brute([(k, n, f or []) for k, n, f in rows], 95, False)
+
+
+@pytest.mark.parametrize("threshold", [60, 85, 95])
+def test_sharing_is_exact(threshold):
+    every = sorted({n for n in names(11, 500)} | {f"{k:08d}" for k in range(0, 4000, 37)} | {"".join(random.Random(k).choices("αβγδ漢字xyz0", k=12)) for k in range(40)})
+    for la in sorted({len(n) for n in every}):
+        for lb in sorted({len(n) for n in every}):
+            a, b = [n for n in every if len(n) == la], [n for n in every if len(n) == lb]
+            c = match.common(la, lb, threshold) if la <= lb and la + lb else 0
+            if la > lb or max(math.comb(la, c), math.comb(lb, c)) > 300:
+                continue
+            got = [(a[i], b[j]) for x, y in match.sharing(a, b, threshold, la == lb) for i, j in zip(x, y, strict=True)]
+            assert len(got) == len(set(got))
+            assert set(got) == {(x, y) for x in a for y in b if (la < lb or x <= y) and ratio(x, y) >= threshold}
+
+
+def test_numbered_names_and_copies(spark, monkeypatch):
+    """Lots of names that differ by digits, in small lots: all pairs, and first holders only."""
+    monkeypatch.setattr(match, "LOT_KEYS", 3_000)
+    rows = [(k, f"Customer#{k % 300 * 7:09d}", ["acme"] if k % 300 < 200 else ["acme", "beta"]) for k in range(420)]
+    whole = match.match_names(records(spark, rows)).collect()
+    every = brute(rows, 85, True)
+    assert len(whole) == len(every) and {(r["a"], r["b"]) for r in whole} == every
+    first = match.match_names(records(spark, rows), copies=False).collect()
+    assert len(first) == len({(r["a"], r["b"]) for r in first})
+    assert {(r["a"], r["b"]) for r in first} == {(i, j) for i, j in every if j < 300} | {(k, k + 300) for k in range(120)}
